@@ -124,9 +124,12 @@ def prefix_table(docs: DataFrame, counts: np.ndarray, n_words: int, percent: int
 
 
 def possible(nx: np.ndarray, px: np.ndarray, ny: np.ndarray, py: np.ndarray, percent: int) -> np.ndarray:
-    """Size and position filters for elements x and y of one list."""
+    """Size and position filters for elements x and y of one list.
+
+    A pair need only pass in the list of its first common shingle, before which it has none.
+    """
     small, large = np.minimum(nx, ny), np.maximum(nx, ny)
-    return (100 * small >= percent * large) & (1 + np.minimum(nx - px - 1, ny - py - 1) + np.minimum(px, py) >= least_overlap(nx, ny, percent))
+    return (100 * small >= percent * large) & (1 + np.minimum(nx - px - 1, ny - py - 1) >= least_overlap(nx, ny, percent))
 
 
 def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -220,14 +223,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n_words: int,
 
 
 def cross_pairs(elements: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of one list that are in different components and pass the size filter, in blocks."""
+    """Pairs of nodes of one list that are in different components and pass the filters, in blocks."""
     named = elements.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = stored(named.select("token", "node", "n", "label").distinct(), "elements")
+    named = stored(named.select("token", "node", "n", "pos", "label").distinct(), "elements")
     lists = named.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     open_lists = stored(named.join(lists, "token"), "open-lists")
-    x = open_lists.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = open_lists.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    x = open_lists.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+    y = open_lists.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))
+    near &= (1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
     return x.join(y, ["token", "block"]).where(near).select("a", "b").distinct()
 
 
@@ -263,15 +267,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     within = nodes.join(groups.where("members > 1"), "gid").select(F.col("rep").alias("a"), F.col("node").alias("b"))
 
     # lists that anchors stand for: long ones, hot shingles, and groups of several nodes
-    long = found.where("token IS NOT NULL").select("token", F.col("b").alias("rid"), "n")
-    long = long.unionByName(postings.where("pos < 0").select("token", "rid", F.col("n").cast("long").alias("n")))
+    long = found.where("token IS NOT NULL").select("token", F.col("b").alias("rid"), "pos")
+    long = long.unionByName(postings.where("pos < 0").select("token", "rid", (-1 - F.col("pos")).cast("long").alias("pos")))
     wide = found.where("token IS NULL").select("a", "b")
     several = owners.where("members > 1").select("rid", "gid")
     # a pair with a group of several nodes is a list of its own, named by the pair
-    wide = wide.join(several.select(F.col("rid").alias("a"), F.lit(1).alias("ma")), "a", "left").join(several.select(F.col("rid").alias("b"), F.lit(1).alias("mb")), "b", "left").where("ma = 1 OR mb = 1").select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("rid"))
+    wide = wide.join(several.select(F.col("rid").alias("a"), F.lit(1).alias("ma")), "a", "left").join(several.select(F.col("rid").alias("b"), F.lit(1).alias("mb")), "b", "left").where("ma = 1 OR mb = 1").select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("rid"), F.lit(0).cast("long").alias("pos"))
     members = nodes.select("gid", "node", "n")
-    elements = long.select("token", "rid").unionByName(wide).join(owners.select("rid", "gid"), "rid").join(members, "gid").select("token", "node", "n")
-    elements = elements.unionByName(members.join(groups.where("members > 1").select("gid"), "gid").select(F.col("gid").alias("token"), "node", "n"))
+    elements = long.unionByName(wide).join(owners.select("rid", "gid"), "rid").join(members, "gid").select("token", "node", "n", "pos")
+    elements = elements.unionByName(members.join(groups.where("members > 1").select("gid"), "gid").select(F.col("gid").alias("token"), "node", "n", F.lit(0).cast("long").alias("pos")))
     elements = stored(elements.distinct(), "long-lists")
     # anchors of hot shingles, one by size class; cold ones have theirs
     anchors = elements.join(postings.where("pos < 0").select("token").distinct(), "token").withColumn("class", F.floor(F.log("n") / float(np.log(100 / percent))))
