@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import HEAVY_TRACKED, small_batches, stored
@@ -135,8 +135,8 @@ def possible(nx: np.ndarray, px: np.ndarray, ny: np.ndarray, py: np.ndarray, per
 def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Stored rows of two kinds from lists by token: pairs (token null) and the elements of long lists.
 
-    Pairs are (a, b) of rids; a long list is paired with anchors, each the first element whose
-    size the anchor before it can't reach.  postings have at most one list's bound in a token.
+    Pairs are (a, b) of rids; a long list is paired with anchors, one in each stretch of
+    sizes that reach the first of it.  postings have at most one list's bound in a token.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +167,12 @@ def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
                 at = 0
                 while at < k:
                     end = int(np.searchsorted(nn, nn[at] * 100 // percent, "right"))
-                    j = np.arange(at + 1, end)
-                    j = j[possible(nn[at], pp[at], nn[j], pp[j], percent)]
+                    # the fewest shingles before the list's own: likeliest what the others were made from
+                    anchor = at + int(pp[at:end].argmin())
+                    j = np.flatnonzero(possible(nn[anchor], pp[anchor], nn, pp, percent))
+                    j = j[j != anchor]
                     if len(j):
-                        yield made(np.full(len(j), rr[at]), rr[j])
+                        yield made(np.full(len(j), rr[anchor]), rr[j])
                     at = end
 
         for b in batches:
@@ -225,13 +227,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n_words: int,
 def cross_pairs(elements: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of one list that are in different components and pass the filters, in blocks."""
     named = elements.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = stored(named.select("token", "node", "n", "pos", "label").distinct(), "elements")
+    named = stored(named.select("token", "node", "n", "pos", "prev", "label").distinct(), "elements")
     lists = named.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     open_lists = stored(named.join(lists, "token"), "open-lists")
-    x = open_lists.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-    y = open_lists.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+    x = open_lists.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("prev").alias("va"), F.col("label").alias("la"))
+    y = open_lists.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("prev").alias("vb"), F.col("label").alias("lb"))
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))
     near &= (1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    near &= F.col("va").isNull() | F.col("vb").isNull() | (F.col("va") != F.col("vb"))
     return x.join(y, ["token", "block"]).where(near).select("a", "b").distinct()
 
 
@@ -269,17 +272,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # lists that anchors stand for: long ones, hot shingles, and groups of several nodes
     long = found.where("token IS NOT NULL").select("token", F.col("b").alias("rid"), "pos")
     long = long.unionByName(postings.where("pos < 0").select("token", "rid", (-1 - F.col("pos")).cast("long").alias("pos")))
+    # the long list before this one in the row's prefix: rows that share it have met there already
+    long = long.withColumn("prev", F.lag("token").over(Window.partitionBy("rid").orderBy("pos")))
     wide = found.where("token IS NULL").select("a", "b")
     several = owners.where("members > 1").select("rid", "gid")
     # a pair with a group of several nodes is a list of its own, named by the pair
-    wide = wide.join(several.select(F.col("rid").alias("a"), F.lit(1).alias("ma")), "a", "left").join(several.select(F.col("rid").alias("b"), F.lit(1).alias("mb")), "b", "left").where("ma = 1 OR mb = 1").select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("rid"), F.lit(0).cast("long").alias("pos"))
+    wide = wide.join(several.select(F.col("rid").alias("a"), F.lit(1).alias("ma")), "a", "left").join(several.select(F.col("rid").alias("b"), F.lit(1).alias("mb")), "b", "left").where("ma = 1 OR mb = 1").select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("rid"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("long").alias("prev"))
     members = nodes.select("gid", "node", "n")
-    elements = long.unionByName(wide).join(owners.select("rid", "gid"), "rid").join(members, "gid").select("token", "node", "n", "pos")
-    elements = elements.unionByName(members.join(groups.where("members > 1").select("gid"), "gid").select(F.col("gid").alias("token"), "node", "n", F.lit(0).cast("long").alias("pos")))
+    elements = long.unionByName(wide).join(owners.select("rid", "gid"), "rid").join(members, "gid").select("token", "node", "n", "pos", "prev")
+    elements = elements.unionByName(members.join(groups.where("members > 1").select("gid"), "gid").select(F.col("gid").alias("token"), "node", "n", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("long").alias("prev")))
     elements = stored(elements.distinct(), "long-lists")
     # anchors of hot shingles, one by size class; cold ones have theirs
     anchors = elements.join(postings.where("pos < 0").select("token").distinct(), "token").withColumn("class", F.floor(F.log("n") / float(np.log(100 / percent))))
-    starred = anchors.join(anchors.groupBy("token", "class").agg(F.min("node").alias("a")), ["token", "class"]).select("a", F.col("node").alias("b"))
+    starred = anchors.join(anchors.groupBy("token", "class").agg(F.min_by("node", F.struct("pos", "node")).alias("a")), ["token", "class"]).select("a", F.col("node").alias("b"))
 
     first = stored(group_pairs.unionByName(within).unionByName(starred).where("a <> b").distinct(), "node-pairs")
     links = verified(first, nodes, base, n_words, percent)
