@@ -1,0 +1,383 @@
+"""The ten operators: edge cases, brute force, round trips and held-out accuracy."""
+
+import base64
+import hashlib
+import json
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import exact_dedup, language_id, line_dedup, media, ngram_join, packing, queries, secret_scan, sentencepiece, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+EDGE = [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, ""), (4, "   \n "), (None, "x"), (5, "word " * 30000), (6, "A b\tc d e F")]
+
+
+@pytest.fixture
+def edge(spark):
+    """Nulls, empty and long texts, repeated rows, and extra columns whose names clash."""
+    df = spark.createDataFrame(EDGE, "doc_id long, text string")
+    return df.withColumns({c: F.lit("x") for c in ("keep_id", "kept", "n_lines", "ids", "secrets", "_doc", "label", "node", "token", "hash", "pos")}).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s")})
+
+
+@pytest.fixture
+def empty(edge):
+    return edge.limit(0)
+
+
+def got(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def sets_of(texts):
+    out = []
+    for t in texts:
+        w = [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+        out.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset())
+    return out
+
+
+def classes(rows):
+    """(doc, size, least linked doc) by comparing all sets."""
+    uniq = defaultdict(list)
+    for (d, _), s in zip(rows, sets_of([t for _, t in rows]), strict=True):
+        uniq[s].append(d)
+    keys = [s for s in uniq if s]
+    parent = list(range(len(keys)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(keys):
+        for j in range(i):
+            c = len(a & keys[j])
+            if 100 * c >= 80 * (len(a) + len(keys[j]) - c):
+                parent[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, s in enumerate(keys):
+        least[find(i)] += [d for d in uniq[s] if d is not None]
+    out = [(d, len(s), min(least[find(i)], default=None)) for i, s in enumerate(keys) for d in uniq[s]]
+    return sorted(out + [(d, 0, d) for d in uniq.get(frozenset(), [])], key=str)
+
+
+def near_copies(n=260):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    base, passage, rows = [rng.choice(words) for _ in range(90)], [rng.choice(words) for _ in range(25)], []
+    for i in range(n):
+        w = list(base) if i % 3 else [rng.choice(words) for _ in range(rng.randint(0, 60))] + passage
+        for _ in range(rng.randint(0, 7)):
+            if w:
+                w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w[: rng.randint(0, len(w))] if i % 5 == 0 else w)))
+    return rows + [(1000 + i, t) for i, t in rows[:20]]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_op1_against_brute_force(spark, monkeypatch, hot):
+    if hot:  # hot shingles and blocks at a small size
+        for k, v in (("LONG", 20), ("FACTOR", 0), ("SHORT", 2), ("BLOCK", 7)):
+            monkeypatch.setattr(ngram_join, k, v)
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(ngram_join.ngram_join(df)) == classes(rows)
+
+
+def test_op1_edges(spark, edge, empty):
+    assert got(ngram_join.ngram_join(edge)) == classes(EDGE)
+    assert got(ngram_join.ngram_join(empty)) == []
+
+
+def test_op2_copies(spark, empty):
+    rng = np.random.default_rng(3)
+
+    def smooth():
+        a = rng.normal(size=(120, 140))
+        for _ in range(3):
+            a = media._blur(a)
+        return (a - a.min()) / (a.max() - a.min()) * 255
+
+    def pgm(a):
+        a = np.clip(np.rint(a), 0, 255).astype(np.uint8)
+        return b"P5 %d %d 255\n" % (a.shape[1], a.shape[0]) + a.tobytes()
+
+    rows = []
+    for k in range(6):
+        a = smooth()
+        rows += [(10 * k, pgm(a)), (10 * k + 1, pgm(a[20:110, 15:130])), (10 * k + 2, pgm(a * 0.8 + 20)), (10 * k + 3, pgm(np.rot90(a)))]
+    rows += [(100, None), (101, b""), (102, b"P5 nonsense"), (103, pgm(np.zeros((50, 50)))), (103, pgm(np.zeros((50, 50))))]
+    found = {(i, c) for i, _, c in got(media.image_copies(spark.createDataFrame(rows, "id long, image binary")))}
+    assert found == {(10 * k + j, 10 * k) for k in range(6) for j in range(4)} | {(i, i) for i in (100, 101, 102, 103)}
+    assert got(media.image_copies(spark.createDataFrame([], "id long, image binary"))) == []
+
+
+def test_op2_png():
+    import struct
+    import zlib
+
+    a = np.arange(12 * 9, dtype=np.uint8).reshape(12, 9)
+    raw = b"".join(bytes([2 if y else 0]) + ((a[y].astype(int) - (a[y - 1] if y else 0)) % 256).astype(np.uint8).tobytes() for y in range(12))
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + b"\0\0\0\0"
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 12, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    assert np.array_equal(media.grey(data), a)
+
+
+def test_op3_edges(spark, edge, empty):
+    best, n = {}, Counter()
+    for d, t in EDGE:
+        best[t or ""] = max([x for x in (best.get(t or ""), d) if x is not None], default=None)
+        n[t or ""] += 1
+    want = [(d, best[t or ""], n[t or ""], d == best[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for d, t in EDGE]
+    assert got(exact_dedup.exact_dedup(edge)) == sorted(want, key=str)
+    assert got(exact_dedup.exact_dedup(empty)) == []
+
+
+def test_op3_hot_digest(spark):
+    rows = [(i, "hot" if i % 2 else f"t{i}") for i in range(40000)]
+    df = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(df.where("group_size > 1").groupBy("keep_id", "group_size").count()) == [(39999, 20000, 20000)]
+    assert df.where("kept").count() == 20001
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    a, b = queries.QUERIES[name](spark, SF).toPandas(), c.execute(queries.ORACLES[name]).df()
+    names = sorted(a.columns)
+    assert names == sorted(b.columns)
+    text = lambda x: sorted(map(str, x[names].astype(object).where(x[names].notna(), None).itertuples(index=False, name=None)))
+    assert text(a) == text(b)
+
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_op4_exact_without_dropout_and_lossless_with():
+    import sentencepiece as library
+
+    rng = random.Random(1)
+    sp, plain, varied = library.SentencePieceProcessor(model_file=MODEL), sentencepiece.Encoder(MODEL, 0.0, 1), sentencepiece.Encoder(MODEL, 0.3, 1)
+    texts = ["".join(rng.choice("ab sre  \n\té日😀.,▁") for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["", " ", "the quick brown fox " * 50]
+    keys = list(range(len(texts)))
+    for t, ids in zip(texts, plain.encode(texts, keys), strict=True):
+        if "▁" not in t:
+            assert ids.tolist() == sp.encode(t)
+    a, b = varied.encode(texts, keys), sentencepiece.Encoder(MODEL, 0.3, 2).encode(texts, keys)
+    assert all(varied.model.decode(i) == t.encode() for t, i in zip(texts, a, strict=True))
+    assert not np.array_equal(a[-1], b[-1]) and all(np.array_equal(x, varied.slow(t, k)) for x, t, k in zip(a, texts, keys, strict=True) if t)
+
+
+def test_op4_edges(spark, edge, empty):
+    out = sentencepiece.sp_encode(edge, MODEL)
+    assert out.columns[-1] == "_ids"
+    back = sentencepiece.sp_decode(out.drop("ids"), MODEL, "_ids", "back")
+    assert back.where("coalesce(text, '') <> back").isEmpty()
+    assert sentencepiece.sp_encode(edge, MODEL, digest=True).where("NOT lossless").isEmpty()
+    assert got(sentencepiece.sp_encode(empty, MODEL, digest=True)) == []
+
+
+def test_op5_splits(spark):
+    rows = [(i, f"http://h/{i}\r\nX: y", "p" * (i % 7) if i % 3 else None) for i in range(300)] + [(400, None, "z" * 300000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    manifest = warc.archive(pages)
+    for size in (64, 1000, 1 << 20):  # ranges that start and end inside members
+        back = got(warc.read_archives(manifest, size).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+        best = {}
+        for i, _, h in rows:
+            best[h or ""] = max(best.get(h or "", -1), i)
+        want = [(i, len(h or ""), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if best[h or ""] == i else "revisit", None if best[h or ""] == i else best[h or ""]) for i, _, h in rows]
+        assert back == sorted(want, key=str)
+    assert got(warc.read_archives(warc.archive(pages.limit(0)))) == []
+
+
+def test_op5_rejects_false_magic(tmp_path):
+    import pyarrow as pa
+
+    good = warc.member(warc.record(7, "u", b"body", None))
+    data = b"junk" + warc.MAGIC + b"\x00" * 20 + good + good[:-3] + good
+    (tmp_path / "a").write_bytes(data)
+    with pa.OSFile(str(tmp_path / "a")) as f:
+        assert len(list(warc.records_of(f, 0, len(data), len(data)))) == 2
+
+
+def test_op6_accuracy_and_edges(spark, edge, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = language_id.language_id(language_id.document_rows(docs, F.col("doc_id"))).join(docs.select(F.col("doc_id").alias("key"), F.col("lang").alias("truth")), "key")
+    n, right, kept = found.agg(F.count(F.lit(1)), F.sum((F.col("lang") == F.col("truth")).cast("int")), F.sum(F.col("kept").cast("int"))).first()
+    assert right >= 0.99 * n and kept == n
+    assert language_id.language_id(language_id.document_rows(edge, F.col("doc_id"))).where("kept").isEmpty()  # no language declared
+    assert got(language_id.keep_known(empty)) == []
+
+
+def test_op6_addresses(spark):
+    df = spark.createDataFrame([("https://www.a.example.de/x",), ("http://b.org/FR/1",), ("nonsense",), (None,)], "u string")
+    parts = language_id.address_parts(F.col("u"))
+    assert got(df.select(parts["host"], parts["domain"], parts["suffix"])) == sorted([("www.a.example.de", "example.de", "de"), ("b.org", "b.org", "fr"), (None, None, None), (None, None, None)], key=str)
+    page = spark.createDataFrame([('<HTML lang="DE-at"><script>x<y</script><p>Hallo</p>',)], "h string")
+    assert page.select(language_id.declared_language(F.col("h")), F.trim(language_id.visible_text(F.col("h")))).first()[:] == ("de", "Hallo")
+
+
+def test_op7_edges(spark, edge, empty):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    out = packing.pack(edge, packing.tokenizer_path()).toPandas()
+    want = []
+    for d, text in EDGE:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, len(ids)] if len(ids) <= 2048 else [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want += [(d, p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    have = [(None if r.doc_id != r.doc_id else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in out.itertuples()]
+    assert sorted(have, key=str) == sorted(want, key=str)
+    out = out.sort_values(["sequence_id", "offset"])
+    assert (out.groupby("sequence_id").length.cumsum() - out.length == out.offset).all() and out.groupby("sequence_id").length.sum().max() <= 2048
+    assert packing.pack(empty, packing.tokenizer_path()).isEmpty()
+
+
+def test_op7_local_search_empties_bins():
+    rng, better = random.Random(2), 0
+    for low, high in ((20, 60), (26, 50), (18, 70)):
+        sizes = Counter(rng.randint(low, high) for _ in range(500))
+        first = packing.best_fit(sizes, 100)
+        bound = packing.lower_bound(sizes, 100)
+        last = packing.local_search(first, 100, bound)
+        held = Counter()
+        for kind, n in last.items():
+            assert packing.fill(kind) <= 100
+            held.update({s: k * n for s, k in kind})
+        assert held == sizes and bound <= sum(last.values()) <= sum(first.values())
+        better += sum(last.values()) < sum(first.values())
+    assert better
+
+
+def test_op7_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import Encoder
+
+    rng = random.Random(1)
+    letters = [*"ab'srevlmtd  \n\t  éÉ1²½.,;!?-_\"", "'s", "'ll", " '", "re "]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + ["日本語 text's", "a" * 5000, "<|endoftext|>", "\x1c a\x85b"]
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    t.encode_special_tokens = True
+    assert [x.tolist() for x in Encoder(packing.tokenizer_path()).encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_op8_held_out_and_edges(spark, edge, empty):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    table = {(r.toxic, r.predicted): r["count"] for r in out}
+    assert table.get((1, 1), 0) >= 0.6 * sum(n for (t, _), n in table.items() if t) and table.get((0, 1), 0) <= 0.05 * table[(0, 0)]
+    none = labels.limit(0).withColumn("toxic", F.lit(None).cast("int"))
+    scored = toxicity.toxicity(edge, none)
+    assert scored.count() == len(EDGE) and scored.where("score IS NULL OR score < 0 OR score > 1").isEmpty()
+    assert got(toxicity.toxicity(empty, none)) == []
+
+
+def test_op8_grammar():
+    g = toxicity.Grammar({"idiot": 4.0, "achlich*": 4.0}, [1.0, 1.0, 1.0, 1.0, 0.0, 0.0], 0.0)
+    hit = lambda t: {p for p, v in zip(toxicity.PATTERNS, g.features(t), strict=True) if v}
+    assert hit("what an Idiot.") == {"insult"} and hit("you idiot") == hit("idiot, you!") == {"insult_target"}
+    assert hit("not an idiot") == {"negated"} and hit("she said he is an idiot") == {"reported"} and hit("i will kill you") == {"threat_target"}
+    assert hit("achlichem Wort") == {"insult"} and hit("unachlich idiotic") == hit("") == hit(None) == set()
+
+
+def plain_line_dedup(rows):
+    """Chunks by the same boundaries, compared as text; the boundaries come from the operator's own hashes."""
+    seen, out = set(), []
+    for d, parts in sorted(rows):
+        left = []
+        for p in parts:
+            if len(p) >= 2 and sum(bool(x.strip(" ")) for x in p) >= 2 and tuple(p) in seen:
+                continue
+            seen.add(tuple(p))
+            left += p
+        out.append((d, "\n".join(left)))
+    return out
+
+
+def test_op9_against_brute_force(spark):
+    rng = random.Random(4)
+    lines = [f"line {i} of text" for i in range(400)]
+    blocks = [rng.sample(lines, rng.randint(2, 12)) for _ in range(8)]
+    texts = []
+    for i in range(120):
+        body = rng.sample(lines, rng.randint(1, 6))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(body))
+            body[at:at] = rng.choice(blocks)
+        texts.append((i, "\n".join(body)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    cut = line_dedup._chunked(df, "text", ["doc_id"], line_dedup.DIVISOR).select("doc_id", "_lines", "_starts").collect()
+    want = plain_line_dedup([(r.doc_id, [r._lines[a:b] for a, b in zip(r._starts, r._starts[1:])]) for r in cut])
+    assert got(line_dedup.line_dedup(df.repartition(3)).select("doc_id", "text")) == sorted(want, key=str)
+    assert any(t != w for (_, t), (_, w) in zip(texts, want, strict=True))
+
+
+def test_op9_edges(spark, edge, empty):
+    out = line_dedup.line_dedup(edge)
+    assert "_n_lines" in out.columns and got(out.select("doc_id", "text")) == sorted(EDGE, key=str)
+    assert got(line_dedup.line_dedup(empty)) == []
+
+
+def jwt():
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    return f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.c2ln"
+
+
+def test_op10_structures():
+    size = lambda n: bytes([n]) if n < 128 else bytes([0x82, n >> 8, n & 255])
+    value = lambda tag, body: bytes([tag]) + size(len(body)) + body
+    rsa = value(0x30, b"".join(value(2, x) for x in (b"\0", *[b"\x01" * 40] * 8)))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = secret_scan.MAGIC + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"pub") + field(b"private")
+    kinds = lambda t: [k for k, *_ in secret_scan.all_spans(t)]
+    code = base64.b64encode(rsa).decode()
+    assert kinds(f"x {code} y") == ["der"] and kinds(f"x {rsa.hex().replace('30', '30', 1)} y") == ["hex", "der"]
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{code}\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{code[:-8]}\n-----END RSA PRIVATE KEY-----") == []
+    assert kinds(f"x {base64.b64encode(ssh).decode()} y") == ["openssh"] and kinds(jwt()) == ["jwt"]
+    assert kinds("M" + "A" * 60) == [] and kinds(jwt().replace(".", "x.", 1)) == []
+
+
+def test_op10_base_and_edges(spark, edge, empty):
+    text = 'é Password: "abcdefgh1" token = token = abcdefgh AKIAABCDEFGHIJKL AKIAX ' + "0a" * 16 + " " + "f" * 31 + " apikey=short " + jwt()
+    want = [(k, m.start(), m.end()) for k, p, f, ok in (
+        ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 8), ("access", r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 16), ("hex", r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 32),
+    ) for m in re.finditer(p, text, f) if ok(m)]
+    assert sorted(secret_scan.base_spans(text)) == sorted(want) and len(want) == 3
+    out = secret_scan.secret_scan(edge)
+    assert out.columns[-1] == "_secrets" and out.where("_secrets.spans <> '' OR _secrets.n_hex > 0").isEmpty()
+    assert out.select("_secrets.base_sha256").first()[0] == hashlib.sha256(b"").hexdigest()
+    clean = secret_scan.secret_scan(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), redact="#")
+    assert "abcdefgh1" not in clean.first()["text"] and clean.where("doc_id = 2").first()["text"] is None
+    assert got(secret_scan.secret_scan(empty)) == []
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = spark.createDataFrame([(900001, None, "en", "s", 0), (900002, "123 !!!", "en", "s", 7)], docs.schema)
+    all_docs = docs.unionByName(extra)
+    known = C.identify_language(spark, all_docs, SF)
+    assert got(known.select("doc_id")) == got(docs.select("doc_id"))
+    lines = C.drop_repeated_lines(spark, known, SF)
+    near = C.drop_near_copies(spark, lines, SF)
+    kept = [(d, t) for d, t in got(lines.select("doc_id", "text"))]
+    assert got(near.select("doc_id")) == sorted([(d,) for d, _, c in classes(kept) if d == c], key=str)
+    masked = C.mask_secrets(spark, near, SF)
+    assert masked.columns == docs.columns and secret_scan.secret_scan(masked).where("secrets.n_hex > 0").isEmpty()
+    assert C.run(spark, SF).select("doc_id").distinct().count() == near.count()
