@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from tidemark.plans import registry
 
-NAMES = ("fact", "q1_count", "q2_count", "q3_count", "q4_count", "joinfree_slide_fact_ids", "full_slide_fact", "count_by_annotation")
+NAMES = ("fact", "q1_count", "q2_count", "q3_count", "q4_count")
 
 
 def main() -> None:
