@@ -17,6 +17,13 @@ def shared_root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, written once."""
+    path = f"{shared_root(df.sparkSession)}/tidemark-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Named states; set() writes a version, get() reads the newest committed one."""
 

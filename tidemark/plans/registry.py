@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.types import DecimalType
 
 from ..functions import bare_head, joined_values
 from ..operators import delta as D
+from ..operators.state import written
 from ..sources import testdata
 from ..streaming import scenario as S
 from . import oracle as O
@@ -41,16 +43,51 @@ def runner(spark: SparkSession, sf_dir: str, scenario: str, stream: bool = False
     return _runs[key]
 
 
-def accumulated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """q1 to q4 of one step over the whole tables, each from what those before it accumulated."""
-    src = testdata.catalog(spark, sf_dir)
-    parts = V.branches(src, RULES)
-    fact = V.fact_of(parts)
-    q1 = R.detail(fact, src, RULES)
-    q2 = R.accumulate(q1, R.detail_gone(q1, parts), "id")
-    dtl = q1.unionByName(q2)
-    q3 = R.summary(dtl, fact, src, RULES)
-    return {"q1": q1, "q2": q2, "dtl": dtl, "q2_form": R.detail_gone(dtl, parts), "q3": q3, "q4": R.summary_gone(q3, dtl), "fact": fact}
+class Accumulated:
+    """q1 to q4 of one step over the whole tables, each from what those before it accumulated.
+
+    Only what a query needs is planned.  q1 reads the views; later queries read the fact and the
+    accumulated details, which are written once in the shared folder, as several of them use both.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.src = testdata.catalog(spark, sf_dir)
+
+    @cached_property
+    def fact(self) -> DataFrame:
+        return written(V.fact(self.src, RULES), "fact")
+
+    @cached_property
+    def parts(self) -> dict[str, DataFrame]:
+        return {label: self.fact.where(F.col("node_type") == label) for label in V.STATUS}
+
+    @property
+    def q1(self) -> DataFrame:
+        return R.detail(V.fact(self.src, RULES), self.src, RULES)
+
+    @cached_property
+    def before_q2(self) -> DataFrame:
+        return written(R.detail(self.fact, self.src, RULES), "detail")
+
+    @cached_property
+    def q2(self) -> DataFrame:
+        return R.accumulate(self.before_q2, R.detail_gone(self.before_q2, self.parts), "id")
+
+    @cached_property
+    def dtl(self) -> DataFrame:
+        return self.before_q2.unionByName(written(self.q2, "tombstones"))
+
+    @property
+    def q2_form(self) -> DataFrame:
+        return R.detail_gone(self.dtl, self.parts)
+
+    @cached_property
+    def q3(self) -> DataFrame:
+        return R.summary(self.dtl, self.fact, self.src, RULES)
+
+    @property
+    def q4(self) -> DataFrame:
+        return R.summary_gone(self.q3, self.dtl)
 
 
 def _view(make: Callable) -> Query:
@@ -58,7 +95,7 @@ def _view(make: Callable) -> Query:
 
 
 def _result(name: str, form: Callable[[DataFrame], DataFrame] = R.steady) -> Query:
-    return lambda spark, d: plain(form(accumulated(spark, d)[name]))
+    return lambda spark, d: plain(form(getattr(Accumulated(spark, d), name)))
 
 
 def _state(short: str, name: str) -> Query:

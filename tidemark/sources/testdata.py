@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import none
 from .catalog import Catalog
@@ -25,8 +26,14 @@ def _case(column: str, values: dict[str, int]) -> Column:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    schemas: dict[str, StructType] = {}
+
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        """A fresh scan; the schema is inferred, by a Spark job, only the first time."""
+        path = f"{sf_dir}/{name}.parquet"
+        if name not in schemas:
+            schemas[name] = spark.read.parquet(path).schema
+        return spark.read.schema(schemas[name]).parquet(path)
 
     def application() -> DataFrame:
         o = table("orders")
