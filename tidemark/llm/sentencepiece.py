@@ -45,7 +45,7 @@ class Model:
         self.pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
         usable = [not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) for i in range(len(self.pieces))]
         self.ids = {p: i for i, p in enumerate(self.pieces) if usable[i]}
-        self.scores = [model.get_score(i) for i in range(len(self.pieces))]
+        self.rank = {p: -model.get_score(i) for p, i in self.ids.items()}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(not model.is_byte(i) for i in self.byte_ids) or any(META in p.lstrip(META) for p in self.ids):
             raise ValueError("a BPE model with byte fallback and blanks only at the start of pieces is needed")
@@ -58,43 +58,39 @@ class Model:
 
     def merge(self, word: str, dropout: float, seed: int, variant: int) -> list[int]:
         """Ids of one word, blanks already as meta symbols."""
-        symbols = list(word)
-        n = len(symbols)
+        n = len(word)
+        # a symbol is the place where it starts; after has its end, or -1 once it was merged into the one before
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, int, str]] = []
         key = int.from_bytes(hashlib.blake2b(f"{seed}:{variant}:{word}".encode(), digest_size=8).digest(), "little") if dropout > 0 else 0
         limit = int(min(1.0, dropout) * (1 << 64))
-        ids, scores = self.ids, self.scores
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (joined := symbols[i] + symbols[j]) in ids:
-                heapq.heappush(agenda, (-scores[ids[joined]], i, j, joined))
-
-        for i in range(n - 1):
-            offer(i)
+        rank, push, pop = self.rank.get, heapq.heappush, heapq.heappop
+        # (rank, start, start of the right symbol, end): equal ranks go from left to right
+        agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        heapq.heapify(agenda)
         while agenda:
-            _, i, j, joined = heapq.heappop(agenda)
-            if not symbols[i] or not symbols[j] or symbols[i] + symbols[j] != joined or after[i] != j:
+            _, i, j, end = pop(agenda)
+            if after[i] != j or after[j] != end:
                 continue
             if limit:
-                u = (key + i * MIXERS[0] + j * MIXERS[1] + len(joined) * MIXERS[2]) & MASK
+                u = (key + i * MIXERS[0] + j * MIXERS[1] + (end - i) * MIXERS[2]) & MASK
                 u = ((u ^ (u >> 30)) * MIXERS[1]) & MASK
                 u = ((u ^ (u >> 27)) * MIXERS[2]) & MASK
                 if u ^ (u >> 31) < limit:
                     continue
-            symbols[i], symbols[j] = joined, ""
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                offer(i)
-            if before[i] >= 0:
-                offer(before[i])
+            after[i], after[j] = end, -1
+            if end < n:
+                before[end] = i
+                if (r := rank(word[i : after[end]])) is not None:
+                    push(agenda, (r, i, end, after[end]))
+            if (k := before[i]) >= 0 and (r := rank(word[k:end])) is not None:
+                push(agenda, (r, k, i, end))
         out: list[int] = []
-        for s in symbols:
-            if s:
-                i = ids.get(s)
-                out += [i] if i is not None else [self.byte_ids[b] for b in s.encode()]
+        at = 0
+        while at < n:
+            s = word[at : after[at]]
+            i = self.ids.get(s)
+            out += [i] if i is not None else [self.byte_ids[b] for b in s.encode()]
+            at = after[at]
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
