@@ -34,8 +34,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines seen before go, and documents that nothing is left of."""
-    done = line_dedup(docs.withColumnsRenamed({"n_lines": "n_lines_", "n_removed": "n_removed_"}))
+    """Passages of lines seen before go, and documents that nothing is left of."""
+    done = line_dedup(docs.withColumnsRenamed({"n_lines": "n_lines_", "n_removed": "n_removed_"}), passages=True)
     return _counted(done.where("NOT (n_removed > 0 AND length(trim(text)) = 0)"), docs.columns)
 
 

@@ -326,6 +326,26 @@ def test_op9_against_brute_force(spark):
     assert any(t != w for (_, t), (_, w) in zip(texts, want, strict=True))
 
 
+def test_op9_planted_passages(spark):
+    """Passages between lines of their own, wherever the operator's boundaries fall."""
+    rng = random.Random(9)
+    own = iter(range(10**6))
+    planted = [[f"passage {k} line {i}" for i in range(n)] for k, n in enumerate([2, 3, 4, 5, 8] * 6)]
+    planted += [["word " * 60 + str(k)] for k in range(3)]
+    rows = []
+    for k, p in enumerate(planted):
+        for j in range(3):
+            body = [[f"own {next(own)}" for _ in range(rng.randint(1, 4))] for _ in range(2)]
+            rows.append((3 * k + j, body, p))
+    rows.append((1000, [["a"], ["b"]], ["x", "x", "x", "x", "x"]))
+    texts = [(i, "\n".join([*b[0], *p, *b[1]])) for i, b, p in rows] + [(1001, "A\n\nB"), (1002, "c\nA\n\nB\nd"), (1003, "A\nB"), (1004, "word " * 60 + "0")]
+    want = [(i, "\n".join([*b[0], *(p if i % 3 == 0 else []), *b[1]])) for i, b, p in rows if i < 1000]
+    want += [(1000, "a\nx\nx\nb"), (1001, "A\n\nB"), (1002, "c\nd"), (1003, "A\nB"), (1004, "word " * 60 + "0")]
+    out = line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), passages=True)
+    assert got(out.select("doc_id", "text")) == sorted(want, key=str)
+    assert all(r.n_removed == dict(texts)[r.doc_id].count("\n") - r.text.count("\n") for r in out.collect())
+
+
 def test_op9_edges(spark, edge, empty):
     out = line_dedup.line_dedup(edge)
     assert "_n_lines" in out.columns and got(out.select("doc_id", "text")) == sorted(EDGE, key=str)

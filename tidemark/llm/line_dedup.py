@@ -3,7 +3,11 @@
 A cyclic-polynomial rolling hash over the hashes of the last two lines decides where a chunk
 ends, so boundaries depend on nearby lines alone and survive shifts.  Chunks of two lines or
 more that occur anywhere else are candidates; the first occurrence, by (id, text hash, chunk),
-stays and later ones go once their bytes equal the first one's.
+stays and later ones go.  As in exact dedup, bytes are equal when their SHA-256 is.
+
+Chunks need a boundary on both sides, so passages of a few lines are mostly lost between them.
+With passages=True (the query and the pipeline) every window of min_lines non-blank lines is a
+candidate, and every line of LONG_LINE bytes: whatever stands elsewhere is a union of windows.
 """
 
 from __future__ import annotations
@@ -17,8 +21,10 @@ from .common import fresh, resolve_groups, stored
 DIVISOR = 2
 #: Non-blank lines that a chunk needs to be removable.
 MIN_LINES = 2
-#: Occurrences of one chunk that are compared in one salted bucket.
-PER_SALT = 2000
+#: Bytes from which a line is a window by itself.
+LONG_LINE = 256
+#: Numbers (lines that go, and eight a text) that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 4_000_000
 
 
 def _lines(text: str) -> Column:
@@ -62,58 +68,76 @@ def _chunked(docs: DataFrame, text: str, keep: list[str], divisor: int) -> DataF
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+#: _spans with the digest of each one's bytes.
+DIGESTED = "transform(_spans, s -> named_struct('first', s.first, 'length', s.length, 'digest', unhex(sha2(cast(array_join(slice(_lines, s.first + 1, s.length), '\\n') AS binary), 256))))"
+
+
+def _chunk_spans(docs: DataFrame, text: str, keep: list[str], divisor: int, min_lines: int) -> DataFrame:
+    """keep and _spans: first line, length and digest of the bytes of each chunk that may go."""
+    solid = "size(filter(slice(_lines, s.first + 1, s.length), x -> length(trim(x)) > 0))"
+    return (
+        _chunked(docs, text, keep, divisor)
+        .withColumn("_spans", F.expr("transform(sequence(0, size(_starts) - 2), c -> named_struct('first', _starts[c], 'length', _starts[c + 1] - _starts[c]))"))
+        .withColumn("_spans", F.expr(f"filter(_spans, s -> s.length >= {min_lines} AND {solid} >= {min_lines})"))
+        .select(*keep, F.expr(DIGESTED).alias("_spans"))
+    )
+
+
+def _window_spans(docs: DataFrame, text: str, keep: list[str], min_lines: int) -> DataFrame:
+    """As _chunk_spans, of every window of min_lines non-blank lines, blank ones between included, and every long line."""
+    return (
+        docs.withColumn("_lines", F.explode(F.array(_lines(text))))
+        .withColumn("_solid", F.explode(F.array(F.expr("filter(sequence(0, size(_lines) - 1), i -> length(trim(_lines[i])) > 0)"))))
+        .withColumn(
+            "_spans",
+            F.expr(
+                f"""concat(
+                    if(size(_solid) < {min_lines}, array(), transform(sequence(0, greatest(size(_solid) - {min_lines}, 0)),
+                        k -> named_struct('first', _solid[k], 'length', _solid[k + {min_lines} - 1] - _solid[k] + 1))),
+                    transform(filter(_solid, i -> octet_length(_lines[i]) >= {LONG_LINE}), i -> named_struct('first', i, 'length', 1)))"""
+            ),
+        )
+        .select(*keep, F.expr(DIGESTED).alias("_spans"))
+    )
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES, passages: bool = False) -> DataFrame:
     """All columns of docs with repeated chunks taken out of the text, plus n_lines, n_removed (lines).
 
     A null text stays null with no lines removed; an empty text stays empty; texts under two lines
     never change.  Rows repeated with the same id and text are treated alike and don't count as
     repeats of each other.  Of equal chunks the one with the smallest (id, hash of the text,
     place) stays.  Blank lines don't count towards min_lines.  Other columns pass through.
+
+    With passages, all lines of a window go that stood before, but for one that overlaps its first
+    occurrence.  Every line that goes still stands at its first place; a first occurrence may lose
+    lines that it shares with an earlier window.
     """
     names = docs.columns
     doc, text, th = "_doc", "_text", "_th"
     out_lines, out_removed = fresh(names, "n_lines"), fresh(names, "n_removed")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").alias(doc), F.col(f"`{text_col}`").alias(text)).withColumn(th, F.xxhash64(text))
 
-    spans = _chunked(base.select(doc, th, text), text, [doc, th], divisor)
-    # one row per chunk: hash of its line hashes
-    chunks = (
-        spans.select(doc, th, "_lines", "_h", "_starts", F.posexplode(F.expr("slice(_starts, 1, size(_starts) - 1)")).alias("chunk", "first"))
-        .withColumn("length", F.expr("_starts[chunk + 1] - first"))
-        .where(F.col("length") >= min_lines)
-        .withColumn("_part", F.expr("slice(_lines, first + 1, length)"))
-        .where(F.size(F.filter("_part", lambda x: F.length(F.trim(x)) > 0)) >= min_lines)
-        .select(F.expr("xxhash64(slice(_h, first + 1, length))").alias("hash"), F.struct(F.col(doc).alias("doc"), F.col(th).alias("th"), "chunk").alias("pos"))
-    )
-    settled = resolve_groups(stored(chunks, "chunks"), "hash", "pos", largest=False)
-    later = stored(
-        settled.where(F.col("pos") > F.col("winner")).select("hash", "pos", "winner", F.ceil(F.col("group_size") / PER_SALT).cast("int").alias("salts")),
-        "later",
-    )
-    first = later.groupBy("hash").agg(F.min("winner").alias("pos"), F.max("salts").alias("salts"))
-
-    # byte comparison: texts of the candidate chunks only
-    marks = later.select("hash", "pos", "salts", F.lit(False).alias("is_first")).unionByName(first.select("hash", "pos", "salts", F.lit(True).alias("is_first")))
-    wanted = marks.groupBy(F.col("pos.doc").alias("w_doc"), F.col("pos.th").alias("w_th")).agg(F.collect_set(F.struct(F.col("pos.chunk").alias("chunk"), "hash", "salts", "is_first")).alias("_wanted"))
-    texts = base.select(doc, th, text).join(wanted, F.col(doc).eqNullSafe(F.col("w_doc")) & (F.col(th) == F.col("w_th"))).dropDuplicates([doc, th])
-    pieces = (
-        _chunked(texts, text, [doc, th, "_wanted"], divisor)
-        .select(doc, th, "_lines", "_starts", F.explode("_wanted").alias("w"))
-        .select("w.hash", "w.salts", "w.is_first", F.struct(F.col(doc).alias("doc"), F.col(th).alias("th"), "w.chunk").alias("pos"), F.expr("array_join(slice(_lines, _starts[w.chunk] + 1, _starts[w.chunk + 1] - _starts[w.chunk]), '\n')").alias("bytes"))
-    )
-    pieces = stored(pieces, "pieces")
-    kept = pieces.where("is_first").select("hash", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("bytes").alias("first_bytes"))
-    equal = pieces.where("NOT is_first").withColumn("salt", F.expr("pmod(xxhash64(pos), salts)").cast("int")).join(kept, ["hash", "salt"]).where(F.col("bytes") == F.col("first_bytes"))
-    drops = equal.groupBy(F.col("pos.doc").alias("d_doc"), F.col("pos.th").alias("d_th")).agg(F.collect_set("pos.chunk").alias("_drops"))
-
-    joined = base.join(drops, F.col(doc).eqNullSafe(F.col("d_doc")) & (F.col(th) == F.col("d_th")), "left")
-    untouched = joined.where(F.col("_drops").isNull()).select("_row", F.col(text).alias("_new"), F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text))).alias("_total"), F.lit(0).alias("_gone"))
+    rows = base.select(doc, th, text)
+    spans = _window_spans(rows, text, [doc, th], min_lines) if passages else _chunk_spans(rows, text, [doc, th], divisor, min_lines)
+    # one row per chunk or window
+    chunks = spans.select(doc, th, F.explode("_spans").alias("s")).select("s.digest", F.struct(F.col(doc).alias("doc"), F.col(th).alias("th"), "s.first", "s.length").alias("pos"))
+    settled = resolve_groups(stored(chunks, "chunks"), "digest", "pos", largest=False)
+    apart = F.expr("NOT (pos.doc <=> winner.doc AND pos.th = winner.th AND pos.first < winner.first + winner.length)")
+    gone = F.expr("array_sort(array_distinct(flatten(collect_set(sequence(pos.first, pos.first + pos.length - 1)))))")
+    drops = stored(settled.where((F.col("pos") > F.col("winner")) & apart).groupBy(F.col("pos.doc").alias("d_doc"), F.col("pos.th").alias("d_th")).agg(gone.alias("_drops")), "drops")
+    weight = drops.agg(F.sum(F.size("_drops") + 8)).first()[0] or 0
+
+    side = F.broadcast(drops) if weight <= BROADCAST else drops
+    joined = base.join(side, F.col(doc).eqNullSafe(F.col("d_doc")) & (F.col(th) == F.col("d_th")), "left")
+    cut = F.col("_drops").isNotNull() & F.coalesce(F.contains(F.col(text), F.lit("\n")), F.lit(False))
+    untouched = joined.where(~cut).select("_row", F.col(text).alias("_new"), F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text))).alias("_total"), F.lit(0).alias("_gone"))
     changed = (
-        _chunked(joined.where(F.col("_drops").isNotNull()), text, ["_row", "_drops"], divisor)
-        .withColumn(
-            "_left",
-            F.explode(F.array(F.flatten(F.transform(F.expr("filter(sequence(0, size(_starts) - 2), c -> NOT array_contains(_drops, c))"), lambda c: F.slice("_lines", F.col("_starts")[c] + 1, F.col("_starts")[c + 1] - F.col("_starts")[c]))))),
-        )
+        joined.where(cut)
+        .withColumn("_lines", F.explode(F.array(_lines(text))))
+        # lines that go, between the places before the first line and after the last
+        .withColumn("_bounds", F.explode(F.array(F.expr("concat(array(-1), _drops, array(size(_lines)))"))))
+        .withColumn("_left", F.explode(F.array(F.expr("flatten(transform(sequence(0, size(_bounds) - 2), k -> slice(_lines, _bounds[k] + 2, _bounds[k + 1] - _bounds[k] - 1)))"))))
         .select("_row", F.array_join("_left", "\n").alias("_new"), F.size("_lines").alias("_total"), (F.size("_lines") - F.size("_left")).alias("_gone"))
     )
     whole = untouched.unionByName(changed)
@@ -121,4 +145,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), passages=True).select("doc_id", "text", "n_lines", "n_removed")
