@@ -119,6 +119,31 @@ def test_op2_copies(spark, empty):
     assert got(media.image_copies(spark.createDataFrame([], "id long, image binary"))) == []
 
 
+def test_op2_any_shared_bucket(spark):
+    """Pairs that verify meet by any shared bucket, also the few that strong edits leave."""
+    rng = np.random.default_rng(8)
+    rows, described = [], {}
+    for k in range(12):
+        a = rng.normal(size=(120, 140))
+        for _ in range(3):
+            a = media._blur(a)
+        a = (a - a.min()) / (a.max() - a.min()) * 255
+        for j in range(4):
+            b = np.clip(np.rint(a + rng.normal(size=a.shape) * (0, 6, 9, 12)[j]), 0, 255).astype(np.uint8)
+            rows.append((10 * k + j, b"P5 %d %d 255\n" % (140, 120) + b.tobytes()))
+            described[10 * k + j] = media.describe(media.grey(rows[-1][1]))
+
+    def buckets(bits):
+        return {(i, d[4 * i : 4 * i + 4].tobytes()) for d in bits for i in range(media.BANDS)}
+
+    pairs = [(x, y) for x in described for y in described if x < y]
+    shared = {p: len(buckets(described[p[0]][1]) & buckets(described[p[1]][1])) for p in pairs}
+    linked = [p for p in pairs if shared[p] and media.agreeing(*described[p[0]], *described[p[1]]) >= max(media.AGREE, media.SHARE * media.FEATURES)]
+    assert sum(shared[p] < 8 for p in linked) >= 3
+    component = {i: c for i, _, c in media.image_copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert all(component[x] == component[y] for x, y in linked)
+
+
 def test_op2_png():
     import struct
     import zlib
