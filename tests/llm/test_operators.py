@@ -144,6 +144,13 @@ def test_op2_any_shared_bucket(spark):
     assert all(component[x] == component[y] for x, y in linked)
 
 
+def test_op2_draws_all_visible_text(spark):
+    parts = ["<nav>menu one</nav>", "<footer>imprint</footer>", "<aside>see also</aside>", '<div class="ad">buy</div>', "<p>body</p>"]
+    pages = ["".join(parts), *("".join(p for p in parts if p != x) for x in parts), parts[0], parts[3]]
+    images = [r.image for r in spark.createDataFrame([(p,) for p in pages], "html string").select(media.render(F.col("html")).alias("image")).collect()]
+    assert len(set(images)) == len(pages) and all(media.grey(i).size for i in images)
+
+
 def test_op2_png():
     import struct
     import zlib
