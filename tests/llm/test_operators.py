@@ -151,6 +151,23 @@ def test_op2_draws_all_visible_text(spark):
     assert len(set(images)) == len(pages) and all(media.grey(i).size for i in images)
 
 
+def test_op2_crops_of_long_images_and_short_pages(spark):
+    rng = np.random.default_rng(6)
+    long = rng.normal(size=(1600, 128))
+    for _ in range(3):
+        long = media._blur(long)
+    long = np.clip((long - long.min()) / (long.max() - long.min()) * 255, 0, 255).astype(np.uint8)
+    other = rng.permutation(long.ravel()).reshape(long.shape)
+    cuts = [long, long[1205:1405], long[300:900, 10:], long[600:1300], other]
+    rows = [(k, b"P5 %d %d 255\n" % a.shape[::-1] + a.tobytes()) for k, a in enumerate(cuts)]
+    assert [c for _, _, c in sorted(media.image_copies(spark.createDataFrame(rows, "id long, image binary")).collect())] == [0, 0, 0, 0, 4]
+    assert media.linked(*media.describe(cuts[2].astype(np.float32)), *media.describe(cuts[3].astype(np.float32)))  # overlap in a half
+
+    html = "".join(f"<p>{''.join(rng.choice(list('abcdefgh '), 60))}</p>" for _ in range(12))
+    page = spark.createDataFrame([(html,)], "html string").select(media.render(F.col("html")).alias("image")).first().image
+    assert len(media.describe(media.grey(page))[0]) >= media.AGREE
+
+
 def test_op2_png():
     import struct
     import zlib
