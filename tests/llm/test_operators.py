@@ -249,6 +249,16 @@ def test_op5_splits(spark):
     assert got(warc.read_archives(warc.archive(pages.limit(0)))) == []
 
 
+def test_op5_long_urls(tmp_path):
+    import pyarrow as pa
+
+    urls = ["http://h/" + "a" * 70000, "http://h/" + "\u6f22" * 8000, "http://h/" + "b" * 3000000, "http://h/c"]
+    data = b"".join(warc.member(warc.record(k, u, b"body", None)) for k, u in enumerate(urls))
+    (tmp_path / "a").write_bytes(data)
+    with pa.OSFile(str(tmp_path / "a")) as f:
+        assert [h["warc-target-uri"] for h in warc.records_of(f, 0, len(data), len(data))] == [warc.one_line(u) for u in urls]
+
+
 def test_op5_rejects_false_magic(tmp_path):
     import pyarrow as pa
 

@@ -26,8 +26,8 @@ from .common import new_path, resolve_groups, small_batches, stored
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of one range of the reader, and of one file of the writer, about.
 RANGE_BYTES, FILE_BYTES = 8 << 20, 1 << 30
-#: Bytes read at once, and that a header may take.
-CHUNK, HEADER = 1 << 20, 1 << 16
+#: Bytes read at once.
+CHUNK = 1 << 20
 #: Revisits that are broadcast to the writer at most; more are joined by a shuffle.
 REVISITS = 100_000
 # The format's profile for equal payloads, and the prefix of record ids.
@@ -127,8 +127,6 @@ def inflate(window: Window, at: int) -> tuple[bytes, int] | None:
             place += len(piece)
             if len(out) >= 7 and not out.startswith(b"WARC/1."):
                 return None
-            if len(out) > HEADER and out.find(b"\r\n\r\n", 0, HEADER) < 0:
-                return None
     except zlib.error:
         return None
     return bytes(out), window.base + place - len(z.unused_data)
