@@ -3,16 +3,18 @@
 A text's blanks become the meta symbol, one is put before it, and words (a run of blanks with
 what follows) are merged on their own, as no piece has a blank after another character.  An
 agenda takes adjacent symbols whose join is a piece, best score first, leftmost of equals.  A
-candidate that is taken from the agenda is skipped where a hash keyed by seed, word, variant and
-place falls under the dropout, so a seed always gives the same pieces on every machine; other
-seeds, and other occurrences of a word (one of VARIANTS each), give other segmentations.
-Characters without a piece become bytes, and so does a literal meta symbol, which makes decoding
-lossless.
+candidate that is taken from the agenda is skipped where a hash keyed by seed, document, number
+of the word in it and place in the word falls under the dropout.  So a seed always gives a
+document the same pieces on every machine, while other seeds, and every other occurrence of a
+word, are drawn anew.  Characters without a piece become bytes, and so does a literal meta symbol,
+which makes decoding lossless.
+
+The agendas of all words of a block are worked off side by side, one candidate of each word a
+round, by array operations; only words over LONGEST characters have an agenda of their own.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -23,20 +25,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, small_batches
-from .texts import FACTORS, mixed, span_hashes
-from .tokens import LIMIT, Remembered, VALUE, safe_cut
+from .texts import FACTORS, mixed
 
 META = "▁"
 DROPOUT, SEED = 0.1, 17
-#: Different segmentations that a word has under one seed, at most.
-VARIANTS = 8
-BLOCK = 1 << 20
+#: Code points that are handled at once, about.
+BLOCK = 1 << 19
+#: Words up to so many characters are merged side by side, in classes of these sizes.
+CLASSES = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48)
+LONGEST = CLASSES[-1]
+#: Bits of a place in a word of at most LONGEST characters, and a rank that no piece has.
+PLACE, NEVER = 6, np.int32(2**31 - 1)
 MASK = (1 << 64) - 1
 MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Draws are compared by their upper DRAWN bits.
+DRAWN = 53
+
+
+def drawn(key: np.ndarray, i: np.ndarray, j: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The draw of a candidate: symbols from i to j and j to end of the word with that key."""
+    m = [np.uint64(x) for x in MIXERS]
+    i = i.astype(np.uint64)
+    u = key + i * m[0] + j.astype(np.uint64) * m[1] + (end.astype(np.uint64) - i) * m[2]
+    u = (u ^ (u >> np.uint64(30))) * m[1]
+    u = (u ^ (u >> np.uint64(27))) * m[2]
+    return (u ^ (u >> np.uint64(31))) >> np.uint64(64 - DRAWN)
 
 
 class Model:
-    """A BPE model with byte fallback: pieces, scores and bytes by id."""
+    """A BPE model with byte fallback: symbols, their joins, and bytes by id.
+
+    A symbol is a piece (its id), a character that is only part of pieces, or OTHER (`other`).
+    """
 
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -45,7 +65,6 @@ class Model:
         self.pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
         usable = [not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) for i in range(len(self.pieces))]
         self.ids = {p: i for i, p in enumerate(self.pieces) if usable[i]}
-        self.rank = {p: -model.get_score(i) for p, i in self.ids.items()}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(not model.is_byte(i) for i in self.byte_ids) or any(META in p.lstrip(META) for p in self.ids):
             raise ValueError("a BPE model with byte fallback and blanks only at the start of pieces is needed")
@@ -55,14 +74,65 @@ class Model:
         self.sizes = np.array([len(v) for v in values], np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(values), np.uint8)
+        if len(self.ids) >> (30 - PLACE):
+            raise ValueError("too many pieces")
+        places = {s: r for r, s in enumerate(sorted({-model.get_score(i) for i in self.ids.values()}))}
+        self.rank = {p: places[-model.get_score(i)] for p, i in self.ids.items()}
+        self._joins()
+
+    def _joins(self) -> None:
+        """Symbols by code point, and an open-addressed table of the joins of two symbols."""
+        symbols = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p}):
+            symbols.setdefault(c, len(self.pieces) + len(symbols) - len(self.ids))
+        self.other = len(self.pieces) + len(symbols) - len(self.ids)
+        self.of_code = np.full(0x110000, self.other, np.int32)
+        for s, i in symbols.items():
+            if len(s) == 1 and s != META:
+                self.of_code[ord(s)] = i
+        self.of_code[32] = symbols.get(META, self.other)
+        self.rank_of = np.zeros(self.other + 1, np.int32)
+        for p, i in self.ids.items():
+            self.rank_of[i] = self.rank[p]
+        pairs = {(a * (self.other + 1) + b): i for p, i in self.ids.items() for k in range(1, len(p)) if (a := symbols.get(p[:k])) is not None and (b := symbols.get(p[k:])) is not None}
+        self.shift = np.uint64(64 - max(12, (8 * len(pairs)).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.joined = np.full(len(self.keys), -1, np.int32)
+        keys, values = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[todo[free]]  # of several, the last one gets the place
+            won = self.keys[at] == keys[todo]
+            self.joined[at[won]] = values[todo[won]]
+            todo, at = todo[~won], (at[~won] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(MIXERS[0])) >> self.shift).view(np.int64)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make together, or -1."""
+        keys = a.astype(np.int64) * (self.other + 1) + b
+        at = self._slot(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.joined[at], np.int32(-1))
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & (len(self.keys) - 1)
+            held = self.keys[at]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.joined[at[hit]]
+            go = ~hit & (held >= 0)
+            todo, at = todo[go], at[go]
+        return out
 
-    def merge(self, word: str, dropout: float, seed: int, variant: int) -> list[int]:
-        """Ids of one word, blanks already as meta symbols."""
+    def merge(self, word: str, dropout: float, key: int) -> list[int]:
+        """Ids of one word, blanks already as meta symbols, by an agenda of its own."""
         n = len(word)
         # a symbol is the place where it starts; after has its end, or -1 once it was merged into the one before
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        key = int.from_bytes(hashlib.blake2b(f"{seed}:{variant}:{word}".encode(), digest_size=8).digest(), "little") if dropout > 0 else 0
-        limit = int(min(1.0, dropout) * (1 << 64))
+        limit = int(min(1.0, dropout) * (1 << DRAWN))
         rank, push, pop = self.rank.get, heapq.heappush, heapq.heappop
         # (rank, start, start of the right symbol, end): equal ranks go from left to right
         agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
@@ -75,7 +145,7 @@ class Model:
                 u = (key + i * MIXERS[0] + j * MIXERS[1] + (end - i) * MIXERS[2]) & MASK
                 u = ((u ^ (u >> 30)) * MIXERS[1]) & MASK
                 u = ((u ^ (u >> 27)) * MIXERS[2]) & MASK
-                if u ^ (u >> 31) < limit:
+                if (u ^ (u >> 31)) >> (64 - DRAWN) < limit:
                     continue
             after[i], after[j] = end, -1
             if end < n:
@@ -93,102 +163,176 @@ class Model:
             at = after[at]
         return out
 
+    def merge_all(self, symbols: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
+        """Symbols (places x words, OTHER after a word's end) after all merges; -1 where one was merged into the one before.
+
+        The agenda of a word is its column of `agenda`: rank and place of the candidate that starts there.
+        """
+        n, count = symbols.shape
+        out = np.empty((n, count), np.int32)
+        column = np.arange(count)
+        # row n stands for what is before the first and after the last symbol
+        symbol = np.vstack([symbols, np.full((1, count), self.other, np.int32)])
+        piece = np.full((n + 1, count), -1, np.int32)
+        piece[: n - 1] = self.join(symbol[: n - 1].ravel(), symbol[1:n].ravel()).reshape(n - 1, count)
+        agenda = np.full((n + 1, count), NEVER, np.int32)
+        agenda[: n - 1] = np.where(piece[: n - 1] >= 0, self.rank_of[piece[: n - 1]] << PLACE | np.arange(n - 1, dtype=np.int32)[:, None], NEVER)
+        after = np.repeat(np.arange(1, n + 2, dtype=np.int64)[:, None], count, 1)
+        before = np.repeat(np.r_[n, np.arange(n)].astype(np.int64)[:, None], count, 1)
+        here = np.arange(count)
+        while True:
+            best = agenda[: n - 1].min(0) if n > 1 else np.full(len(column), NEVER, np.int32)
+            open_ = best < NEVER
+            left = int(np.count_nonzero(open_))
+            if left < 0.8 * len(column):
+                done = ~open_
+                out[:, column[done]] = symbol[:n, done]
+                if not left:
+                    return out
+                keep = np.flatnonzero(open_)
+                symbol, piece, agenda, after, before = (np.take(x, keep, 1) for x in (symbol, piece, agenda, after, before))
+                column, best, keys = column[keep], best[keep], keys[keep]
+                here = c = np.arange(left)
+            elif left < len(column):
+                c = here[open_]
+                best = best[c]
+            else:
+                c = here
+            wide = len(column)
+            symbol_, piece_, agenda_, after_, before_ = (x.reshape(-1) for x in (symbol, piece, agenda, after, before))
+            i = (best & ((1 << PLACE) - 1)).astype(np.int64)
+            at = i * wide + c
+            j = after_[at]
+            end = after_[j * wide + c]
+            if limit:
+                skipped = drawn(keys[c], i, j, end) < np.uint64(limit)
+                agenda_[at[skipped]] = NEVER
+                go = np.flatnonzero(~skipped)
+                c, i, j, end, at = c[go], i[go], j[go], end[go], at[go]
+            made = piece_[at]
+            symbol_[at] = made
+            gone = j * wide + c
+            symbol_[gone] = -1
+            agenda_[gone] = NEVER
+            after_[at] = end
+            past = end * wide + c
+            before_[past] = i
+            first = before_[at]
+            ahead = first * wide + c
+            for where, place, a, b in ((at, i, made, symbol_[past]), (ahead, first, symbol_[ahead], made)):
+                p = self.join(a, b)
+                piece_[where] = p
+                agenda_[where] = np.where(p >= 0, self.rank_of[p] << PLACE | place.astype(np.int32), NEVER)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's UTF-8 bytes: its pieces', without the blank that encoding put first."""
+        return self.spelled(ids)[0].tobytes()[1:]
+
+    def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where those of each id end."""
         n = self.sizes[ids]
         done = np.cumsum(n)
-        out = self.bytes[np.repeat(self.begin[ids] - done + n, n) + np.arange(done[-1] if len(done) else 0)].tobytes()
-        return out[1:]
+        return self.bytes[np.repeat(self.begin[ids] - done + n, n) + np.arange(done[-1] if len(done) else 0)], done
 
 
 class Encoder:
     def __init__(self, path: str, dropout: float, seed: int) -> None:
-        self.model, self.dropout, self.seed, self.words = Model(path), dropout, seed, Remembered()
+        self.model, self.dropout, self.seed = Model(path), dropout, seed
+        self.limit = int(min(1.0, max(0.0, dropout)) * (1 << DRAWN))
 
-    def slow(self, text: str, key: int) -> np.ndarray:
-        """Ids of a text with characters beyond the class table: the same words, one at a time."""
-        out: list[int] = []
-        for k, (word, plain) in enumerate(split_words(text)):
-            if plain:
-                v = int(variants(np.array([key], np.uint64), np.array([k], np.uint64))[0]) if self.dropout > 0 else 0
-                out += self.model.merge(word, self.dropout, self.seed, v)
-            else:
-                out += [self.model.byte_ids[b] for b in word.encode()]
-        return np.array(out, np.uint32)
-
-    def block(self, texts: list[str], keys: list[int], first_word: list[int]) -> list[np.ndarray]:
-        """Ids of texts whose code points are under LIMIT and that start with the blank put first."""
-        joined = "".join(texts)
-        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    def block(self, texts: list[str], keys: list[int], first_word: list[int]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of parts of texts that start at words, and the number of words of each."""
+        model, joined = self.model, "".join(texts)
+        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(t) for t in texts])
         at = np.cumsum(sizes) - sizes
-        blank, line = cp == 32, cp == 10
+        blank, alone = cp == 32, (cp == 10) | (cp == ord(META))
         start = blank.copy()
         start[1:] &= ~blank[:-1]
-        start |= line
-        start[1:] |= line[:-1]
+        start |= alone
+        start[1:] |= alone[:-1]
         start[at] = True
         begin = np.flatnonzero(start)
-        end = np.append(begin[1:], len(cp))
-        h = span_hashes(VALUE[cp], begin, end)
+        length = np.diff(np.append(begin, len(cp)))
         edge = np.searchsorted(begin, np.append(at, len(cp)))
         number = np.diff(edge)
         order = np.arange(len(begin)) - np.repeat(edge[:-1], number) + np.repeat(np.array(first_word, np.int64), number)
-        chosen = variants(np.repeat(np.array(keys, np.uint64), number), order.astype(np.uint64)) if self.dropout > 0 else np.zeros(len(begin), np.uint64)
-        h = mixed(h + chosen * FACTORS[12])
-
-        def merge(places: np.ndarray) -> list[list[int]]:
-            return [self.model.merge(joined[a:b].replace(" ", META), self.dropout, self.seed, v) for a, b, v in zip(begin[places].tolist(), end[places].tolist(), chosen[places].tolist(), strict=True)]
-
-        ids, done = self.words.gather(h, merge)
-        return np.split(ids, done[edge[1:-1] - 1])
+        word_key = mixed(np.repeat(np.array(keys, np.uint64), number) + order.astype(np.uint64) * FACTORS[11])
+        symbols = model.of_code[cp]
+        final = symbols.copy()  # by place; -1 where merged into the symbol before
+        padded = np.append(symbols, np.full(LONGEST, model.other, np.int32))
+        by_size = np.searchsorted(CLASSES, length)
+        for k, n in enumerate(CLASSES):
+            words = np.flatnonzero((by_size == k) & (length > 1))
+            if not len(words):
+                continue
+            place = begin[words] + np.arange(n)[:, None]
+            inside = np.arange(n)[:, None] < length[words]
+            done = model.merge_all(np.where(inside, padded[place], np.int32(model.other)), word_key[words], self.limit)
+            final[place[inside]] = done[inside]
+        extra: dict[int, list[int]] = {}
+        for w in np.flatnonzero(length > LONGEST).tolist():
+            a, b = int(begin[w]), int(begin[w] + length[w])
+            extra[a] = model.merge(joined[a:b].replace(" ", META), self.dropout, int(word_key[w]))
+            final[a:b] = -1
+            final[a] = model.other
+        for a in np.flatnonzero(final >= len(model.pieces)).tolist():  # characters without a piece
+            if a not in extra:
+                extra[a] = [model.byte_ids[b] for b in joined[a].encode("utf-8", "surrogatepass")]
+        kept = np.flatnonzero(final >= 0)
+        ids = final[kept].astype(np.uint32)
+        if extra:
+            where = np.array(sorted(extra), np.int64)
+            many = np.ones(len(kept), np.int64)
+            slot = np.searchsorted(kept, where)
+            many[slot] = [len(extra[a]) for a in where.tolist()]
+            begins = np.cumsum(many) - many
+            ids = np.repeat(ids, many)
+            for s, a in zip(begins[slot].tolist(), where.tolist(), strict=True):
+                ids[s : s + len(extra[a])] = extra[a]
+            ends = np.append(begins, len(ids))
+        else:
+            ends = np.arange(len(kept) + 1)
+        return np.split(ids, ends[np.searchsorted(kept, at[1:])]), number.tolist()
 
     def encode(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         parts: list[list[np.ndarray]] = [[] for _ in texts]
-        held: list[tuple[int, str, int]] = []
+        held: list[tuple[int, str]] = []
+        words: dict[int, int] = {}  # words of a text in parts that are done
         size = 0
 
         def flush() -> None:
             nonlocal size
             if held:
-                for (i, _, _), ids in zip(held, self.block([t for _, t, _ in held], [keys[i] for i, _, _ in held], [w for _, _, w in held]), strict=True):
+                done, number = self.block([t for _, t in held], [keys[i] for i, _ in held], [words.get(i, 0) for i, _ in held])
+                for (i, _), ids, n in zip(held, done, number, strict=True):
                     parts[i].append(ids)
+                    words[i] = words.get(i, 0) + n
             held.clear()
             size = 0
 
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if max(text) >= chr(LIMIT):
-                parts[i].append(self.slow(text, keys[i]))
-                continue
-            text, at, word = " " + text, 0, 0
+            text, at = " " + text, 0
             while at < len(text):
-                end = len(text) if len(text) - at <= BLOCK else safe_cut(text, at + BLOCK)
-                held.append((i, text[at:end], word))
-                if end < len(text):  # the next part goes on counting words
-                    word += sum(1 for _ in split_words(text[at:end], False))
+                end = len(text) if len(text) - at <= BLOCK else word_start(text, at + BLOCK)
+                held.append((i, text[at:end]))
                 size += end - at
                 at = end
-                if size >= BLOCK // 2:
+                if size >= BLOCK or at < len(text):
                     flush()
         flush()
         return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, np.uint32) for p in parts]
 
 
-def split_words(text: str, put: bool = True) -> Iterator[tuple[str, bool]]:
-    """Words with blanks as meta symbols; a literal meta symbol comes alone, marked False."""
-    at, text = 0, " " + text if put else text
-    for i in range(1, len(text) + 1):
-        if i == len(text) or (text[i] == " " and text[i - 1] != " ") or text[i] in "\n▁" or text[i - 1] in "\n▁":
-            word = text[at:i]
-            yield (word, False) if word == META else (word.replace(" ", META), True)
-            at = i
-
-
-def variants(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Which variant the word at a place of the text with that key takes."""
-    return mixed(keys + order * FACTORS[11]) % np.uint64(VARIANTS)
+def word_start(text: str, at: int) -> int:
+    """The first place from at on where a word starts after a letter, or the text's end."""
+    while (at := text.find(" ", at)) >= 0:
+        if text[at - 1] != " ":
+            return at
+        at += 1
+    return len(text)
 
 
 _encoders: dict[tuple[str, float, int], Encoder] = {}
