@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,7 +330,43 @@ def test_op6_addresses(spark):
     parts = language_id.address_parts(F.col("u"))
     assert got(df.select(parts["host"], parts["domain"], parts["suffix"])) == sorted([("www.a.example.de", "example.de", "de"), ("b.org", "b.org", "fr"), (None, None, None), (None, None, None)], key=str)
     page = spark.createDataFrame([('<HTML lang="DE-at"><script>x<y</script><p>Hallo</p>',)], "h string")
-    assert page.select(language_id.declared_language(F.col("h")), F.trim(language_id.visible_text(F.col("h")))).first()[:] == ("de", "Hallo")
+    assert page.select(language_id.declared_language(F.col("h"))).first()[0] == "de"
+    shown = language_id.visible(pa.array([page.first().h, None, "1 < 2 <b>x</b <i", "<p>"]), pa.array([True, True, True, False])).to_pylist()
+    assert [t and t.split() for t in shown] == [["Hallo"], None, ["1", "<", "2", "x"], ["<p>"]]
+    assert len(language_id.HIDDEN.sub(" ", "<" * 300_000 + "<a" * 300_000)) > 0  # in linear time
+
+
+def test_op6_scores_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(2)
+    texts = pa.array(["".join(rng.choice("abcé  \n.XYZ") for _ in range(rng.randint(0, 50))) if rng.random() > 0.1 else None for _ in range(200)] + ["a", "ab", "abc", ""])
+    table = np.random.default_rng(1).normal(size=(3, language_id.BUCKETS + 1)).astype(np.float32)
+    table[:, -1] = 0
+    whole = [language_id.text_scores(texts.slice(i, 1), table) for i in range(len(texts))]  # each text on its own
+    for size in (1, 2, 3, 7, 64, 1 << 19):
+        monkeypatch.setattr(language_id, "BLOCK", size)
+        total, n = language_id.text_scores(texts, table)
+        assert n.tolist() == [int(x[1][0]) for x in whole] and np.allclose(total, np.concatenate([x[0] for x in whole]))
+
+
+def test_op6_languages_by_text_alone(spark):
+    """Half the rows don't declare a language and have no host: their language is known by the text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL")
+    hidden = F.col("doc_id") % 2 == 0
+    masked = docs.withColumns({"truth": F.col("lang"), "lang": F.when(~hidden, F.col("lang")), "source": F.when(~hidden, F.col("source"))})
+    found = language_id.language_id(language_id.document_rows(masked, F.col("doc_id"))).join(masked.select(F.col("doc_id").alias("key"), "truth"), "key").where("key % 2 = 0")
+    n, right = found.agg(F.count(F.lit(1)), F.sum((F.col("lang") == F.col("truth")).cast("int"))).first()
+    assert right >= 0.97 * n
+
+
+def test_op6_junk_ties_and_repeats(spark):
+    rows = [(i, t, la, s) for i, (t, la, s) in enumerate([("der die das und ist nicht", "de", "h")] * 6 + [("the and is not of with", "en", "h")] * 6 + [("0123 456", "en", "h"), ("\x00\x01\x02", None, None), ("the and is not of with", "English", None), ("der die das und ist nicht", None, None)])]
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string, source string").withColumns({"_gone_doc": F.lit(1), "_gone_th": F.lit(2), "_th": F.lit(3)})
+    out = language_id.keep_known(df)
+    assert out.columns == df.columns
+    ids = [r.doc_id for r in out.collect()]
+    assert sorted(ids) == [0, *range(12), 14, 15]  # digits and control signs have no language; "English" isn't a code, but the text tells
+    long = spark.createDataFrame([(1, "the and is not of with " * 60000, "en", "h")], "doc_id long, text string, lang string, source string").unionByName(df.select("doc_id", "text", "lang", "source"))
+    assert language_id.keep_known(long).where("length(text) > 1000").count() == 1
 
 
 def test_op7_edges(spark, edge, empty):

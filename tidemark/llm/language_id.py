@@ -14,24 +14,23 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, stored
+from .common import fresh, lean, small_batches, stored
 from .texts import flat
 
-#: Declared rows that the text model is fitted on, about (a share of the hashes of their keys).
-SAMPLE = 12_000
-#: Languages at most, the most declared ones; hashed trigrams; weight of the upper level in a prior.
-LANGUAGES, BUCKETS, KAPPA = 64, 1 << 16, 20.0
+#: Rows of each declared language that the text model is fitted on, about (a share of the hashes of their keys), and fewest rows.
+SAMPLE, LEAST_ROWS = 3_000, 3
+#: Hashed trigrams; weight of the upper level in a prior.
+BUCKETS, KAPPA = 1 << 16, 20.0
 #: Chance of no known language, and least posterior of an accepted one.
 UNKNOWN, LEAST = 0.01, 0.5
 #: Rows of one host that are joined to one copy of its prior.
 PER_SALT = 50_000
 #: Bytes whose trigrams are scored at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 # Country suffixes of addresses and the language that they suggest.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh"}
@@ -42,39 +41,42 @@ FOLD[97:123] = np.arange(97, 123)
 FOLD[65:91] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
 
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.DOTALL | re.IGNORECASE)
+# a tag ends before the next one at the latest, so that no text is read twice
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[a-z/!?][^<>]*>?", re.DOTALL | re.IGNORECASE)
 
 
-def buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed trigram of every place, -1 where it isn't inside a text or is blank, and the texts' starts and ends."""
+def coded(column: pa.Array) -> Iterator[tuple[np.ndarray, slice, np.ndarray, np.ndarray]]:
+    """Blocks of a column: the hashed trigram of every place, -1 where it isn't inside a text or is
+    blank; the texts that the block touches, and where in it they start and end."""
     data, starts, ends = flat(column)
-    b = FOLD[data].astype(np.uint32)
-    out = np.full(len(b), -1, np.int32)
-    if len(b) > 2:
-        mix = (b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(2654435761)
-        code = (mix >> np.uint32(16)).astype(np.int32)
-        code[(b[1:-1] == 32) & ((b[:-2] == 32) | (b[2:] == 32))] = -1
-        out[:-2] = code
-    full = ends[ends > starts]
-    out[full - 1] = -1
-    out[np.maximum(full - 2, 0)] = -1
-    return out, starts, ends
+    for at in range(0, len(data), BLOCK):
+        stop = min(at + BLOCK, len(data))
+        b = FOLD[data[at : stop + 2]].astype(np.uint32)
+        out = np.full(stop - at, -1, np.int32)
+        if len(b) > 2:
+            mix = (b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(2654435761)
+            code = (mix >> np.uint32(16)).astype(np.int32)
+            code[(b[1:-1] == 32) & ((b[:-2] == 32) | (b[2:] == 32))] = -1
+            out[: len(code)] = code
+        rows = slice(int(np.searchsorted(ends, at, "right")), int(np.searchsorted(starts, stop, "left")))
+        begin, end = np.maximum(starts[rows] - at, 0), ends[rows] - at
+        for k in (1, 2):  # trigrams that go on past their text
+            last = end[end > begin] - k
+            out[last[(last >= 0) & (last < len(out))]] = -1
+        yield out, rows, begin, np.minimum(end, len(out))
 
 
 def text_scores(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the trigrams' log-likelihoods by language (texts x languages) and the number of trigrams."""
-    codes, starts, ends = buckets(column)
-    out, n = np.zeros((len(starts), table.shape[1])), np.zeros(len(starts), np.int64)
-    for at in range(0, len(codes), BLOCK):
-        part = codes[at : at + BLOCK]
-        lo, hi = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + len(part), "left")
-        rows = np.arange(lo, hi)
-        rows = rows[ends[rows] > starts[rows]]
-        if not len(rows):
+    """Sum of the trigrams' log-likelihoods by language (texts x languages) and the number of trigrams; table is languages x trigrams."""
+    out, n = np.zeros((len(column), len(table))), np.zeros(len(column), np.int64)
+    for codes, rows, begin, end in coded(column):
+        some = end > begin
+        if not some.any():
             continue
-        begin = np.maximum(starts[rows], at) - at
-        out[rows] += np.add.reduceat(table[part], begin, axis=0)  # the last row of table, for -1, is zero
-        n[rows] += np.add.reduceat(part >= 0, begin)
+        which, begin = np.arange(rows.start, rows.stop)[some], begin[some]
+        n[which] += np.add.reduceat(codes >= 0, begin, dtype=np.int64)
+        for k, likelihood in enumerate(table):  # its last place, for -1, is zero
+            out[which, k] += np.add.reduceat(likelihood[codes], begin, dtype=np.float64)
     return out, n
 
 
@@ -94,43 +96,46 @@ def address_parts(url: Column) -> dict[str, Column]:
     return {"host": F.nullif(host, F.lit("")), "domain": F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), "suffix": F.coalesce(F.try_element_at(known, top), F.nullif(step, F.lit("")))}
 
 
-def visible_text(html: Column) -> Column:
-    @F.pandas_udf("string")
-    def strip(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda h: None if h is None else HIDDEN.sub(" ", h))
-
-    return strip(html)
+def visible(texts: pa.Array, markup: pa.Array) -> pa.Array:
+    """texts, those marked as markup without their tags."""
+    if not any(marks := markup.to_pylist()):
+        return texts
+    return pa.array([HIDDEN.sub(" ", t) if m and t else t for t, m in zip(texts.to_pylist(), marks, strict=True)], pa.string())
 
 
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, and log-likelihoods (BUCKETS + 1 x languages + 1); the last language is none, the last row zero."""
-    known = rows.where(F.col("declared").isNotNull()).groupBy("declared").count().where("count >= 3").orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
+    """Languages, and log-likelihoods (languages + 1 x BUCKETS + 1); the last language is none, the last place zero."""
+    known = rows.where(F.col("declared").isNotNull()).groupBy("declared").count().where(F.col("count") >= LEAST_ROWS).collect()  # two-letter codes
     languages = sorted(r.declared for r in known)
-    table = np.zeros((BUCKETS + 1, len(languages) + 1))
+    table = np.zeros((len(languages) + 1, BUCKETS + 1))
     if languages:
-        share = SAMPLE / max(SAMPLE, sum(r["count"] for r in known))  # by hash of the key: no sort, and the same rows each time
-        sample = rows.where(F.col("declared").isin(languages) & (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("declared", "text")
+        # by hash of the key: no sort, and the same rows each time
+        shares = {r.declared: int(min(1.0, SAMPLE / r["count"]) * (1 << 20)) + 1 for r in known}
+        share = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("declared"))
+        sample = rows.where(F.col("declared").isin(languages)).where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share).select("declared", "text", "markup")
 
+        @lean
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[str, np.ndarray] = {}
             for b in batches:
-                codes, starts, ends = buckets(b.column(1))
-                for x, s, e in zip(b.column(0).to_pylist(), starts, ends, strict=True):
-                    part = codes[s:e]
-                    np.add.at(sums.setdefault(x, np.zeros(BUCKETS, np.int64)), part[part >= 0], 1)
+                said = b.column(0).to_pylist()
+                for codes, rows_, begin, end in coded(visible(b.column(1), b.column(2))):
+                    for x, s, e in zip(said[rows_], begin.tolist(), end.tolist(), strict=True):
+                        part = codes[s:e]
+                        np.add.at(sums.setdefault(x, np.zeros(BUCKETS, np.int64)), part[part >= 0], 1)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "counts"])
 
         for r in sample.repartition(8).mapInArrow(count, "lang string, counts binary").toLocalIterator():
-            table[:BUCKETS, languages.index(r.lang)] += np.frombuffer(r.counts, np.int64)
-    seen = table[:BUCKETS]
-    share = (seen.sum(1, keepdims=True) + 0.5) / (seen.sum() + 0.5 * BUCKETS)
-    table[:BUCKETS] = np.log((seen + 50.0 * share) / (seen.sum(0) + 50.0))
-    table[:BUCKETS, -1] = -math.log(BUCKETS / 8)
+            table[languages.index(r.lang), :BUCKETS] += np.frombuffer(r.counts, np.int64)
+    seen = table[:, :BUCKETS]
+    share = (seen.sum(0) + 0.5) / (seen.sum() + 0.5 * BUCKETS)
+    table[:, :BUCKETS] = np.log((seen + 50.0 * share) / (seen.sum(1, keepdims=True) + 50.0))
+    table[-1, :BUCKETS] = -math.log(BUCKETS / 8)
     return languages, table.astype(np.float32)
 
 
 def language_id(rows: DataFrame) -> DataFrame:
-    """key, lang, confidence, kept for rows of (key, text, declared, host, domain, suffix).
+    """key, lang, confidence, kept for rows of (key, text, markup, declared, host, domain, suffix).
 
     lang is the language of greatest posterior, "und" for none; kept is false for "und", for a
     posterior under LEAST and for texts without letters (null and empty ones included).  Null
@@ -142,9 +147,10 @@ def language_id(rows: DataFrame) -> DataFrame:
     languages, table = fit(rows)
     n_lang = len(languages) + 1
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total, n = text_scores(b.column(1), table)
+            total, n = text_scores(visible(b.column(1), b.column(6)), table)
             # neighbouring trigrams overlap, so their evidence grows with the root of their number
             scaled = total / np.maximum(n, 1)[:, None] * np.sqrt(n)[:, None] * 3.0
             best = np.where(n > 0, total.argmax(1), n_lang - 1).astype(np.int32)
@@ -153,21 +159,19 @@ def language_id(rows: DataFrame) -> DataFrame:
 
     key_type = rows.schema["key"].dataType.simpleString()
     scored = stored(
-        rows.select("key", "text", "declared", "host", "domain", "suffix").mapInArrow(score, f"key {key_type}, declared string, host string, domain string, suffix string, n long, best int, scores array<double>"),
+        rows.select("key", "text", "declared", "host", "domain", "suffix", "markup").mapInArrow(score, f"key {key_type}, declared string, host string, domain string, suffix string, n long, best int, scores array<double>"),
         "language-scores",
     )
     sure = scored.where((F.col("n") >= 5) & (F.col("best") < n_lang - 1))
 
     def confusion(column: str) -> dict[str, list[float]]:
-        """log P(value | language) of the LANGUAGES * 4 most frequent values."""
-        counts = sure.where(F.col(column).isNotNull()).groupBy(column, "best").count()
-        top = counts.groupBy(column).agg(F.sum("count").alias("n")).orderBy(F.desc("n"), column).limit(LANGUAGES * 4)
+        """log P(value | language) of every value; values are two-letter codes, so they are few."""
         got: dict[str, np.ndarray] = {}
-        for r in counts.join(F.broadcast(top), column).select(F.col(column).alias("v"), "best", "count").collect():
+        for r in sure.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v"), "best").count().collect():
             got.setdefault(r.v, np.zeros(n_lang))[r.best] = r["count"]
         total = sum(got.values(), np.zeros(n_lang))
         share = {v: (c.sum() + 1) / (total.sum() + len(got) + 1) for v, c in got.items()}
-        return {v: np.log((c + 5 * share[v]) / (total + 5)).tolist() for v, c in got.items()}
+        return {v: np.log((c + 5 * share[v]) / (total + 5)) for v, c in got.items()}
 
     said = {c: confusion(c) for c in ("declared", "suffix")}
     everywhere = np.zeros(n_lang)
@@ -188,43 +192,52 @@ def language_id(rows: DataFrame) -> DataFrame:
     copies = priors.select("host", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "prior")
     joined = salted.join(copies, ["host", "salt"], "left")
 
-    names = pd.array([*languages, "und"])
+    names = np.array([*languages, "und"])
+    none = np.zeros(n_lang)
+
+    def evidence(values: pa.Array, table: dict[str, np.ndarray]) -> np.ndarray:
+        coded_ = values.dictionary_encode()
+        rows_ = np.stack([table.get(v, none) for v in coded_.dictionary.to_pylist()] + [none])
+        return rows_[coded_.indices.fill_null(len(rows_) - 1).to_numpy()]
 
-    @F.pandas_udf("lang string, confidence double, kept boolean")
-    def fuse(scores: pd.Series, n: pd.Series, declared: pd.Series, suffix: pd.Series, prior: pd.Series) -> pd.DataFrame:
-        z = np.array(scores.tolist()).reshape(len(scores), n_lang)
-        none = np.zeros(n_lang)
-        z = z + np.array([np.array(said["declared"].get(x, none)) for x in declared]).reshape(z.shape) + np.array([np.array(said["suffix"].get(x, none)) for x in suffix]).reshape(z.shape)
-        z = z + np.log(np.array([base if p is None else np.maximum(p, 1e-9) for p in prior]).reshape(z.shape))
-        z = z - z.max(1, keepdims=True)
-        p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-        letters = n.to_numpy() > 0
-        best = np.where(letters, p.argmax(1), n_lang - 1)
-        confidence = p[np.arange(len(p)), best]
-        return pd.DataFrame({"lang": np.asarray(names)[best], "confidence": confidence, "kept": letters & (best < n_lang - 1) & (confidence >= LEAST)})
+    @lean
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = b.column(1).flatten().to_numpy().reshape(b.num_rows, n_lang) + evidence(b.column(3), said["declared"]) + evidence(b.column(4), said["suffix"])
+            prior_ = np.repeat(base[None], b.num_rows, 0)
+            prior_[np.asarray(b.column(5).is_valid())] = np.maximum(b.column(5).flatten().to_numpy().reshape(-1, n_lang), 1e-9)
+            z += np.log(prior_)
+            z -= z.max(1, keepdims=True)
+            p = np.exp(z)
+            p /= p.sum(1, keepdims=True)
+            letters = b.column(2).to_numpy() > 0
+            best = np.where(letters, p.argmax(1), n_lang - 1)
+            confidence = p[np.arange(len(p)), best]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(confidence), pa.array(letters & (best < n_lang - 1) & (confidence >= LEAST))], ["key", "lang", "confidence", "kept"])
 
-    return joined.select("key", fuse("scores", "n", "declared", "suffix", "prior").alias("f")).select("key", "f.*")
+    return joined.select("key", "scores", "n", "declared", "suffix", "prior").mapInArrow(fuse, f"key {key_type}, lang string, confidence double, kept boolean")
 
 
 def document_rows(docs: DataFrame, key: Column) -> DataFrame:
-    """Rows of evidence from documents: their lang is what is declared, their source the host."""
-    none = F.lit(None).cast("string")
-    return docs.select(key.alias("key"), F.col("text"), F.nullif(F.lower("lang"), F.lit("")).alias("declared"), F.nullif(F.col("source"), F.lit("")).alias("host"), F.regexp_extract("source", r"([^.]+\.[^.]+)$", 1).alias("domain"), none.alias("suffix")).withColumn("domain", F.nullif("domain", F.lit("")))
+    """Rows of evidence from documents: the two-letter code that their lang starts with is what is declared, their source the host."""
+    said = F.nullif(F.lower(F.regexp_extract("lang", r"^\s*([A-Za-z]{2})(?:$|[^A-Za-z])", 1)), F.lit(""))
+    domain = F.nullif(F.regexp_extract("source", r"([^.]+\.[^.]+)$", 1), F.lit(""))
+    return docs.select(key.alias("key"), F.col("text"), F.lit(False).alias("markup"), said.alias("declared"), F.nullif(F.col("source"), F.lit("")).alias("host"), domain.alias("domain"), F.lit(None).cast("string").alias("suffix"))
 
 
 def page_rows(pages: DataFrame, key: Column) -> DataFrame:
-    """Rows of evidence from pages: visible text, declared markup language, address."""
+    """Rows of evidence from pages: markup, whose visible text counts, its declared language, and the address."""
     url = address_parts(F.col("url"))
-    return pages.select(key.alias("key"), visible_text(F.col("html")).alias("text"), declared_language(F.col("html")).alias("declared"), *[url[c].alias(c) for c in ("host", "domain", "suffix")])
+    return pages.select(key.alias("key"), F.col("html").alias("text"), F.lit(True).alias("markup"), declared_language(F.col("html")).alias("declared"), *[url[c].alias(c) for c in ("host", "domain", "suffix")])
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known; all columns pass through."""
+    """The documents whose language is known; all columns pass through, whatever their names."""
     key = F.struct(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"))
-    gone = stored(language_id(document_rows(docs, key)).where("NOT kept").select(F.col("key.doc").alias("_gone_doc"), F.col("key.th").alias("_gone_th")).distinct(), "rejected")
+    doc, th, mark = fresh(docs.columns, "_gone_doc"), fresh(docs.columns, "_gone_th"), fresh(docs.columns, "_th")
+    gone = stored(language_id(document_rows(docs, key)).where("NOT kept").select(F.col("key.doc").alias(doc), F.col("key.th").alias(th)).distinct(), "rejected")
     side = F.broadcast(gone) if gone.count() <= 100_000 else gone
-    mark = fresh(docs.columns, "_th")
-    return docs.withColumn(mark, F.xxhash64("text")).join(side, F.col("doc_id").eqNullSafe(F.col("_gone_doc")) & (F.col(mark) == F.col("_gone_th")), "left_anti").drop(mark)
+    return docs.withColumn(mark, F.xxhash64("text")).join(side, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(th)), "left_anti").drop(mark)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ SPACE[[32, *range(9, 14)]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 FACTORS = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that are handled at once, about; a longer word makes a longer block.
+BLOCK = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -66,22 +68,48 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mixed(part + (ends - starts).astype(np.uint64) * FACTORS[15])
 
 
+def _cut(data: np.ndarray, starts: np.ndarray, at: int) -> int:
+    """Where a block from at on may end: after a blank or before a text, so that it holds whole words."""
+    end = at + BLOCK
+    if end >= len(data):
+        return len(data)
+    blank = np.flatnonzero(SPACE[data[at:end]])
+    first = int(np.searchsorted(starts, end, "right")) - 1
+    best = max(at + int(blank[-1]) + 1 if len(blank) else at, int(starts[first]))
+    if best > at:
+        return best
+    while end < len(data):  # a word longer than a block
+        blank = np.flatnonzero(SPACE[data[end : end + BLOCK]])
+        first = int(np.searchsorted(starts, end, "left"))
+        stops = [end + int(blank[0])] if len(blank) else []
+        stops += [int(starts[first])] if first < len(starts) and starts[first] <= end + BLOCK else []
+        if stops:
+            return min(stops)
+        end += BLOCK
+    return len(data)
+
+
 def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint of every word, texts in turn, and the number of words of each text."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    inside = ~SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    cuts = starts[(starts > 0) & (starts < len(data)) & (ends > starts)]
-    first[cuts] = inside[cuts]  # a text's first word is no part of the text before
-    begin = np.flatnonzero(first)
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    last[cuts - 1] = inside[cuts - 1]
-    end = np.flatnonzero(last) + 1
-    counts = np.searchsorted(begin, ends) - np.searchsorted(begin, starts)
-    return span_hashes(BYTE[data], begin, end), counts
+    """Fingerprint of every word, texts in turn, and the number of words of each text; by blocks of whole words."""
+    counts, found, at = np.zeros(len(starts), np.int64), [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        stop = _cut(data, starts, at)
+        block = data[at:stop]
+        inside = ~SPACE[block]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        rows = slice(int(np.searchsorted(ends, at, "right")), int(np.searchsorted(starts, stop, "left")))
+        lo, hi = np.maximum(starts[rows] - at, 0), np.minimum(ends[rows], stop) - at
+        cuts = lo[(lo > 0) & (hi > lo)]
+        first[cuts] = inside[cuts]  # a text's first word is no part of the text before
+        last = inside.copy()
+        last[:-1] &= ~inside[1:]
+        last[cuts - 1] = inside[cuts - 1]
+        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        counts[rows] += np.searchsorted(begin, hi) - np.searchsorted(begin, lo)
+        found.append(span_hashes(BYTE[block], begin, end))
+        at = stop
+    return np.concatenate(found), counts
 
 
 def shingle_sets(column: pa.Array, n: int = 5) -> list[np.ndarray]:
