@@ -3,9 +3,8 @@
 Shingles are ordered rarest first by counts in a fixed number of hash buckets.  Two sets that
 reach the threshold share a shingle among the first few of each (their prefixes), so only
 prefixes are indexed.  Documents with equal sets are one node; nodes with equal size and prefix
-are one group, and only one row of a group in each task is indexed.  Lists of groups by shingle
-give group pairs, filtered by size and position; they are expanded to nodes and verified on the
-texts.
+are one group, of which one row is indexed.  Lists of groups by shingle give group pairs,
+filtered by size and position; they are expanded to nodes and verified on the texts.
 
 Only connectivity is asked for, so a long list isn't paired with itself: its groups are paired
 with anchors first, components are found, and only nodes that are still in different components
@@ -18,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY_TRACKED, small_batches, stored
+from .common import HEAVY_TRACKED, lean, small_batches, stored
 from .graph import components
 from .texts import FACTORS, flat, mixed, shingle_sets, words
 
@@ -31,8 +31,11 @@ WORDS, PERCENT = 5, 80
 BUCKETS, CHUNKS = 1 << 20, 64
 #: Groups in a list up to which all its pairs are made at once.
 SHORT = 4
-#: A shingle seen so often (or FACTOR times the mean bucket) has its list dealt over many tasks.
+#: A shingle seen so often (or FACTOR times the mean bucket, which is FACTOR / BUCKETS of all
+#: shingles) has its list dealt over many tasks; a task holds LONG elements of a list at most.
 LONG, FACTOR = 20_000, 8
+#: Places of a prefix that one task puts in order.
+STRETCH = 128
 #: Elements of one block when a list is paired with itself.
 BLOCK = 500
 #: Ids that are broadcast to pick texts at most; more are joined by a shuffle.
@@ -52,6 +55,7 @@ def shingle_counts(texts: DataFrame, n_words: int) -> np.ndarray:
     """How often shingles of each hash bucket occur, from all texts; BUCKETS numbers."""
     size = BUCKETS // CHUNKS
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
@@ -89,6 +93,7 @@ def prefix_table(docs: DataFrame, counts: np.ndarray, n_words: int, percent: int
     """
     order = np.minimum(counts, (1 << 31) - 1).astype(np.uint32)
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, seen = TaskContext.get().partitionId() << 32, set()
         for b in batches:
@@ -135,35 +140,37 @@ def possible(nx: np.ndarray, px: np.ndarray, ny: np.ndarray, py: np.ndarray, per
 def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Stored rows of two kinds from lists by token: pairs (token null) and the elements of long lists.
 
-    Pairs are (a, b) of rids; a long list is paired with anchors, one in each stretch of
-    sizes that reach the first of it.  postings have at most one list's bound in a token.
+    Pairs are (a, b) of groups' representatives, multi where a group has several members.  A list
+    over SHORT is paired with anchors, one in each stretch of sizes that reach the first of it;
+    one over LONG passes through with star set and no anchor, which it gets by size class later,
+    so no task holds more than LONG elements, however long its lists.
     """
+    names = ["token", "a", "b", "n", "pos", "multi", "star"]
 
+    @lean
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "a", "b", "n", "pos"]
-        types = [pa.int64()] * 5
-
-        def made(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        def made(a: np.ndarray, b: np.ndarray, multi: np.ndarray) -> pa.RecordBatch:
             none = pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none], names)
+            return pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, pa.array(multi), pa.array(np.zeros(len(a), bool))], names)
 
-        held: list[np.ndarray] | None = None
+        def listed(t: np.ndarray, r: np.ndarray, n: np.ndarray, p: np.ndarray, m: np.ndarray, star: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.nulls(len(t), pa.int64()), pa.array(r), pa.array(n), pa.array(p), pa.array(m > 0), pa.array(np.full(len(t), star))], names)
 
-        def work(t: np.ndarray, r: np.ndarray, n: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def work(t: np.ndarray, r: np.ndarray, n: np.ndarray, p: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
             begin = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             size = np.diff(np.append(begin, len(t)))
             each = np.repeat(size, size)
             keep = (each > 1) & (each <= SHORT)
             if keep.any():
-                tt, rr, nn, pp = t[keep], r[keep], n[keep], p[keep]
+                tt, rr, nn, pp, mm = t[keep], r[keep], n[keep], p[keep], m[keep]
                 for d in range(1, SHORT):
                     i = np.flatnonzero(tt[d:] == tt[:-d])
                     i = i[possible(nn[i], pp[i], nn[i + d], pp[i + d], percent)]
                     if len(i):
-                        yield made(rr[i], rr[i + d])
+                        yield made(rr[i], rr[i + d], mm[i] + mm[i + d] > 0)
             for s, k in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
-                nn, rr, pp = n[s : s + k], r[s : s + k], p[s : s + k]
-                yield pa.RecordBatch.from_arrays([pa.array(t[s : s + k]), pa.nulls(k, pa.int64()), pa.array(rr), pa.array(nn), pa.array(pp)], names)
+                nn, rr, pp, mm = n[s : s + k], r[s : s + k], p[s : s + k], m[s : s + k]
+                yield listed(t[s : s + k], rr, nn, pp, mm, False)
                 at = 0
                 while at < k:
                     end = int(np.searchsorted(nn, nn[at] * 100 // percent, "right"))
@@ -172,22 +179,35 @@ def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
                     j = np.flatnonzero(possible(nn[anchor], pp[anchor], nn, pp, percent))
                     j = j[j != anchor]
                     if len(j):
-                        yield made(np.full(len(j), rr[anchor]), rr[j])
+                        yield made(np.full(len(j), rr[anchor]), rr[j], mm[j] + mm[anchor] > 0)
                     at = end
 
+        held = [np.zeros(0, np.int64)] * 5
+        passing: int | None = None  # the token of a list over LONG that is under way
         for b in batches:
-            columns = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            columns = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
+            if passing is not None:
+                cut = int(np.searchsorted(columns[0], passing, "right"))
+                if cut:
+                    yield listed(*(x[:cut] for x in columns), True)
+                columns = [x[cut:] for x in columns]
+                if not len(columns[0]):
+                    continue
+                passing = None
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
             cut = int(np.searchsorted(columns[0], columns[0][-1], "left")) if len(columns[0]) else 0
             if cut:
                 yield from work(*(x[:cut] for x in columns))
             held = [x[cut:] for x in columns]
-        if held is not None and len(held[0]):
+            if len(held[0]) > LONG:
+                passing = int(held[0][0])
+                yield listed(*held, True)
+                held = [x[:0] for x in held]
+        if len(held[0]):
             yield from work(*held)
 
-    ordered = postings.repartition("token").sortWithinPartitions("token", "n", "rid").select("token", "rid", "n", "pos")
-    return stored(ordered.mapInArrow(pairs, "token long, a long, b long, n long, pos long"), "pairs")
+    ordered = postings.repartition("token").sortWithinPartitions("token", "n", "rep").select("token", "rep", "n", "pos", F.col("multi").cast("long"))
+    return stored(ordered.mapInArrow(pairs, "token long, a long, b long, n long, pos long, multi boolean, star boolean"), "pairs")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -197,13 +217,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n_words: int,
     side = F.broadcast(wanted) if wanted.count() <= PICKED else wanted
     texts = docs.join(side, F.col("doc").eqNullSafe(F.col("w_doc"))).select("node", "sig1", "sig2", "text")
 
+    @lean
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c = b.column(0).to_numpy(), b.column(4).to_numpy()
             left, right = b.column(3), b.column(7)
-            new = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
-            first = shingle_sets(left.take(pa.array(new)), n_words)
-            which = np.cumsum(np.append(True, a[1:] != a[:-1])) - 1 if len(a) else new
+            # rows of one left text follow one another; an id that repeats may bring several texts
+            turn = np.ones(len(a), bool)
+            if len(a) > 1:
+                turn[1:] = (a[1:] != a[:-1]) | np.asarray(pc.not_equal(left[1:], left[:-1]))
+            first = shingle_sets(left.take(pa.array(np.flatnonzero(turn))), n_words)
+            which = np.cumsum(turn) - 1
             ok = np.zeros(len(a), bool)
             signed: dict[int, bool] = {}
             sig = [x.to_numpy() for x in (b.column(1), b.column(2), b.column(5), b.column(6))]
@@ -257,33 +281,40 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     del counts
 
     nodes = stored(table.where("n > 0").groupBy("sig1", "sig2", "n", "gid").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    groups = nodes.groupBy("gid").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("members"))
-    indexed = table.where("prefix IS NOT NULL")
-    owners = stored(indexed.select("rid", "gid").join(groups, "gid"), "owners")
-    postings = indexed.select("rid", "n", F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("token"), "rid", F.col("n").cast("int").alias("n"), F.col("x.places").alias("pos"))
+    groups = nodes.groupBy("gid").agg(F.min("node").alias("rep"), (F.count(F.lit(1)) > 1).alias("multi"))
+    # every task wrote its first row of a group; one of them is indexed, under the group's representative
+    once = table.where("prefix IS NOT NULL").groupBy("gid").agg(F.min_by(F.struct("n", "prefix", "places"), "rid").alias("x"))
+    postings = stored(
+        once.join(groups, "gid").select("rep", "multi", F.col("x.n").cast("int").alias("n"), F.explode(F.arrays_zip("x.prefix", "x.places")).alias("y")).select(F.col("y.prefix").alias("token"), "rep", "multi", "n", F.col("y.places").alias("pos")),
+        "postings",
+    )
     found = listed_pairs(postings.where("pos >= 0"), percent)
 
     # group pairs, expanded to nodes: representatives now, all members in the second phase
-    a = owners.select(F.col("rid").alias("a"), F.col("rep").alias("ra"))
-    b = owners.select(F.col("rid").alias("b"), F.col("rep").alias("rb"))
-    group_pairs = found.where("token IS NULL").select("a", "b").distinct().join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    within = nodes.join(groups.where("members > 1"), "gid").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    group_pairs = found.where("token IS NULL").select("a", "b").distinct()
+    members = stored(nodes.join(groups.where("multi"), "gid").select("rep", "node", F.col("n").alias("size")), "members")
+    within = members.select(F.col("rep").alias("a"), F.col("node").alias("b"))
 
     # lists that anchors stand for: long ones, hot shingles, and groups of several nodes
-    long = found.where("token IS NOT NULL").select("token", F.col("b").alias("rid"), "pos")
-    long = long.unionByName(postings.where("pos < 0").select("token", "rid", (-1 - F.col("pos")).cast("long").alias("pos")))
-    # the long list before this one in the row's prefix: rows that share it have met there already
-    long = long.withColumn("prev", F.lag("token").over(Window.partitionBy("rid").orderBy("pos")))
-    wide = found.where("token IS NULL").select("a", "b")
-    several = owners.where("members > 1").select("rid", "gid")
+    long = found.where("token IS NOT NULL").select("token", F.col("b").alias("rep"), "n", "pos", "multi", "star")
+    long = long.unionByName(postings.where("pos < 0").select("token", "rep", F.col("n").cast("long").alias("n"), (-1 - F.col("pos")).cast("long").alias("pos"), "multi", F.lit(True).alias("star")))
+    # the long list before this one in the row's prefix: rows that share it have met there already;
+    # by stretches of places, so that a long prefix isn't one task's
+    stretch = Window.partitionBy("rep", F.floor(F.col("pos") / STRETCH)).orderBy("pos")
+    long = long.withColumn("prev", F.lag("token").over(stretch))
     # a pair with a group of several nodes is a list of its own, named by the pair
-    wide = wide.join(several.select(F.col("rid").alias("a"), F.lit(1).alias("ma")), "a", "left").join(several.select(F.col("rid").alias("b"), F.lit(1).alias("mb")), "b", "left").where("ma = 1 OR mb = 1").select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("rid"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("long").alias("prev"))
-    members = nodes.select("gid", "node", "n")
-    elements = long.unionByName(wide).join(owners.select("rid", "gid"), "rid").join(members, "gid").select("token", "node", "n", "pos", "prev")
-    elements = elements.unionByName(members.join(groups.where("members > 1").select("gid"), "gid").select(F.col("gid").alias("token"), "node", "n", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("long").alias("prev")))
+    none = F.lit(None).cast("long")
+    wide = found.where("token IS NULL AND multi").select("a", "b").distinct().select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("rep"), F.lit(0).cast("long").alias("pos"), none.alias("prev"), F.lit(False).alias("star"))
+    sizes = nodes.select(F.col("node").alias("rep"), F.col("n").cast("long").alias("n"))
+    wide = wide.join(sizes, "rep").select("token", "rep", "n", "pos", "prev", "star")
+    listed = long.select("token", "rep", "n", "pos", "prev", "star").unionByName(wide)
+    # members of one group have one size
+    others = listed.join(members.where("rep <> node").select("rep", "node"), "rep").select("token", "node", "n", "pos", "prev", "star")
+    elements = listed.select("token", F.col("rep").alias("node"), "n", "pos", "prev", "star").unionByName(others)
+    elements = elements.unionByName(members.select(F.xxhash64("rep").alias("token"), "node", F.col("size").alias("n"), F.lit(0).cast("long").alias("pos"), none.alias("prev"), F.lit(False).alias("star")))
     elements = stored(elements.distinct(), "long-lists")
-    # anchors of hot shingles, one by size class; cold ones have theirs
-    anchors = elements.join(postings.where("pos < 0").select("token").distinct(), "token").withColumn("class", F.floor(F.log("n") / float(np.log(100 / percent))))
+    # anchors of lists that passed through: one by size class
+    anchors = elements.where("star").withColumn("class", F.floor(F.log("n") / float(np.log(100 / percent))))
     starred = anchors.join(anchors.groupBy("token", "class").agg(F.min_by("node", F.struct("pos", "node")).alias("a")), ["token", "class"]).select("a", F.col("node").alias("b"))
 
     first = stored(group_pairs.unionByName(within).unionByName(starred).where("a <> b").distinct(), "node-pairs")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import lean, small_batches, stored
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -168,6 +168,7 @@ def places(bins: Counter[Kind], capacity: int) -> dict[str, np.ndarray]:
 def piece_table(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str, separator: int) -> DataFrame:
     """Stored pieces: doc, piece, start, length, crc, part and the place among the part's pieces of that length."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, seen, part = encoder(path), Counter(), TaskContext.get().partitionId()
         for batch in batches:
@@ -207,6 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     shift = 1 << 44
     keys = at["size"] * shift + at["rank"]
 
+    @lean
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, place, before_ = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
