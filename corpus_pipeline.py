@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import fresh, stored
 from tidemark.llm.language_id import keep_known
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.ngram_join import ngram_join
@@ -29,28 +29,41 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a known language go."""
+    """Documents without a known language go: null, empty and letterless texts, and doubtful ones.
+
+    Repeated rows stay or go together; other columns pass through; an empty table stays empty.
+    """
     return keep_known(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of lines seen before go, and documents that nothing is left of."""
-    done = line_dedup(docs.withColumnsRenamed({"n_lines": "n_lines_", "n_removed": "n_removed_"}), passages=True)
-    return _counted(done.where("NOT (n_removed > 0 AND length(trim(text)) = 0)"), docs.columns)
+    """Passages of lines seen before go, and documents that nothing is left of.
+
+    Texts that were null or empty before stay; of equal passages the one of the least (id, text
+    hash, place) stays, and rows repeated with the same id and text are treated alike.  Columns
+    named like the operator's counts keep their values.
+    """
+    removed = fresh(docs.columns, "n_removed")
+    return _counted(line_dedup(docs, passages=True).where(f"NOT (`{removed}` > 0 AND length(trim(text)) = 0)"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays (all rows of that id)."""
-    gone = stored(ngram_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= DROPPED else gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Of each group of near copies the document with the least id stays (all rows of that id).
+
+    Null and empty texts and null ids stay; other columns pass through, whatever their names.
+    """
+    mark = fresh(docs.columns, "_gone")
+    gone = stored(ngram_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct(), "near-copies")
+    return docs.join(F.broadcast(gone) if gone.count() <= DROPPED else gone, docs["doc_id"] == gone[mark], "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of a secret is replaced by MARK."""
+    """Every stretch that spans of secrets cover is replaced by MARK; null and empty texts stay as they are."""
     return _counted(secret_scan(docs, redact=MARK), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of every document, repeated rows and empty texts included; no row without documents."""
     return pack(docs, tokenizer_path())
 
 
