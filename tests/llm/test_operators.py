@@ -130,7 +130,7 @@ def test_op2_any_shared_bucket(spark):
             a = media._blur(a)
         a = (a - a.min()) / (a.max() - a.min()) * 255
         for j in range(4):
-            b = np.clip(np.rint(a + rng.normal(size=a.shape) * (0, 6, 9, 12)[j]), 0, 255).astype(np.uint8)
+            b = np.clip(np.rint(a + rng.normal(size=a.shape) * (0, 24, 32, 40)[j]), 0, 255).astype(np.uint8)
             rows.append((10 * k + j, b"P5 %d %d 255\n" % (140, 120) + b.tobytes()))
             described[10 * k + j] = media.describe(media.grey(rows[-1][1]))
 
@@ -139,12 +139,104 @@ def test_op2_any_shared_bucket(spark):
 
     pairs = [(x, y) for x in described for y in described if x < y]
     shared = {p: len(buckets(described[p[0]][1]) & buckets(described[p[1]][1])) for p in pairs}
-    linked = [p for p in pairs if shared[p] and media.agreeing(*described[p[0]], *described[p[1]]) >= max(media.AGREE, media.SHARE * media.FEATURES)]
+    linked = [p for p in pairs if shared[p] and media.linked(*described[p[0]], *described[p[1]])]
     assert sum(shared[p] < 8 for p in linked) >= 3
     component = {i: c for i, _, c in media.image_copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
     assert all(component[x] == component[y] for x, y in linked)
 
 
+def texture(rng, blurs, h=120, w=140):
+    a = rng.normal(size=(h, w))
+    for _ in range(blurs):
+        a = media._blur(a)
+    return (a - a.min()) / (a.max() - a.min()) * 255
+
+
+def sampled(a, y, x):
+    """a at places between pixels, grey outside."""
+    y0, x0 = np.clip(np.floor(y).astype(int), 0, a.shape[0] - 2), np.clip(np.floor(x).astype(int), 0, a.shape[1] - 2)
+    fy, fx = y - y0, x - x0
+    out = (a[y0, x0] * (1 - fx) + a[y0, x0 + 1] * fx) * (1 - fy) + (a[y0 + 1, x0] * (1 - fx) + a[y0 + 1, x0 + 1] * fx) * fy
+    return np.where((y < 0) | (y > a.shape[0] - 1) | (x < 0) | (x > a.shape[1] - 1), 128, out)
+
+
+def edits(a, rng):
+    h, w = a.shape
+    y, x = np.mgrid[0:h, 0:w].astype(float)
+    crop = lambda f: a[int(h * 0.6 * (1 - f)) :, int(w * 0.3 * (1 - f)) :][: int(h * f), : int(w * f)]
+    scale = lambda f: sampled(a, *np.mgrid[0 : int(h * f), 0 : int(w * f)].astype(float) / f)
+
+    def turn(degrees):
+        c, s = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
+        cy, cx = (h - 1) / 2, (w - 1) / 2
+        return sampled(a, cy + (y - cy) * c + (x - cx) * s, cx + (x - cx) * c - (y - cy) * s)
+
+    return {"crop 70 %": crop(0.7), "crop 50 %": crop(0.5), "noise": a + rng.normal(0, 8, a.shape), "gamma": 255 * (a / 255) ** 1.6, "blur": media._blur(a), "scale 0.8": scale(0.8), "turn 15": turn(15), "turn 40": turn(40), "turn 90": np.rot90(a), "gain": a * 0.6 + 30}
+
+
+def test_op2_recall_of_each_edit(spark):
+    rng = np.random.default_rng(21)
+    rows, kinds, n = [], {}, 24
+    for k in range(n):
+        a = texture(rng, (3, 12)[k % 2])
+        for j, (name, b) in enumerate([("", a), *edits(a, rng).items()]):
+            b = np.clip(np.rint(b), 0, 255).astype(np.uint8)
+            rows.append((100 * k + j, b"P5 %d %d 255\n" % b.shape[::-1] + b.tobytes()))
+            kinds[100 * k + j] = name
+    component = {i: c for i, _, c in media.image_copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    found = Counter(kinds[i] for i, c in component.items() if c == i - i % 100)
+    assert all(found[name] >= 0.9 * n for name in set(kinds.values())), found
+    assert all(c // 100 == i // 100 for i, c in component.items())  # nothing else is linked
+
+
+def test_op2_against_all_pairs(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", media.render(F.col("html")).alias("image"))
+    rows = [(r.page_id, media.grey(bytes(r.image))) for r in pages.collect()]
+    described = media.describe_all([x for _, x in rows])
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if np.array_equal(rows[i][1], rows[j][1]) or media.linked(*described[i], *described[j]):
+                a, b = sorted((find(i), find(j)), key=lambda x: rows[x][0])
+                parent[b] = a
+    want = {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+    assert {i: c for i, _, c in media.image_copies(pages, "page_id").collect()} == want and len(set(want.values())) < len(want)
+
+
+def test_op2_descriptors_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(4)
+    images = [texture(rng, 2, int(h), w) for h, w in zip(rng.integers(1, 90, 30), [64, 40, 64] * 10, strict=True)] + [None, np.zeros((0, 64)), np.full((40, 64), 7.0)]
+    for image, (places, bits) in zip(images, media.describe_all(images), strict=True):
+        alone = media.describe_all([image])[0]
+        assert np.array_equal(places, alone[0]) and np.array_equal(bits, alone[1])
+        assert (image is not None and image.size and image.std() > 0) or not len(places)
+
+
+def test_op2_png_depths():
+    def png(rows, depth, kind, palette=b""):
+        import struct
+        import zlib
+
+        def chunk(name, body):
+            return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+        raw = b"".join(b"\0" + r for r in rows)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, len(rows), depth, kind, 0, 0, 0)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+    assert media.grey(png([b"\xf0", b"\x0f"], 1, 0)).tolist() == [[255] * 4 + [0] * 4, [0] * 4 + [255] * 4]
+    assert media.grey(png([bytes([0x1B, 0xE4])], 2, 0)).tolist() == [[0, 85, 170, 255, 255, 170, 85, 0]]
+    assert media.grey(png([bytes(range(16))], 16, 0)).tolist() == [list(range(0, 16, 2))]
+    assert media.grey(png([b"\x01" * 4], 4, 3, bytes([9, 9, 9, 30, 60, 90]))).tolist() == [[9, 60] * 4]
+    assert media.grey(png([b"\x00" * 3], 8, 0)) is None  # cut short
+    assert media.grey(b"P5 99999 99999 255\n") is None
+
+
 def test_op2_draws_all_visible_text(spark):
     parts = ["<nav>menu one</nav>", "<footer>imprint</footer>", "<aside>see also</aside>", '<div class="ad">buy</div>', "<p>body</p>"]
     pages = ["".join(parts), *("".join(p for p in parts if p != x) for x in parts), parts[0], parts[3]]
