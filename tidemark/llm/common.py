@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Candidates that the frequent-items summary reports, and counters it keeps.
-HEAVY_K, HEAVY_TRACKED = 512, 8192
+#: A key is hot if it holds more than one in HEAVY_TRACKED of the rows.
+HEAVY_TRACKED = 8192
+#: Parts of the input with a frequent-items summary each, keys that one reports, and counters it keeps.
+PARTS, REPORTED, COUNTERS = 64, 2 * HEAVY_TRACKED, 16 * HEAVY_TRACKED
 #: Rows in one Arrow batch: texts may be long, so batches stay small.
 ARROW_ROWS = 512
 
@@ -71,17 +73,19 @@ def fresh(taken: list[str], name: str) -> str:
 def resolve_groups(rows: DataFrame, key: str, order: str, largest: bool = True) -> DataFrame:
     """Add winner (largest or smallest `order` of the key's rows) and group_size to rows, by SQL functions only.
 
-    A frequent-items summary (the Misra-Gries family: bounded counters, mergeable) proposes at
-    most HEAVY_K keys; exact counts verify them, and only keys holding at least one row in
-    HEAVY_TRACKED stay, so at most HEAVY_TRACKED winners are broadcast and joined map-side.
-    All other keys, none of which can be large, go through one shuffle.  `rows` should be a
-    stored table, as it is read three times.
+    Frequent-items summaries (the Misra-Gries family: bounded counters, mergeable) of PARTS parts of
+    the rows propose keys: one that holds a share of all rows holds it in some part, and the
+    counters suffice for that share.  Exact counts verify them, and only keys holding more than
+    one row in HEAVY_TRACKED stay, so at most HEAVY_TRACKED winners are broadcast and joined
+    map-side (and PARTS * REPORTED proposals).  All other keys, none of which holds a larger
+    share, go through one shuffle.  `rows` should be a stored table, as it is read three times.
     """
     spark = rows.sparkSession
     best = F.max if largest else F.min
     total = rows.count()
     marked = rows.withColumn("_fp", F.xxhash64(key))
-    proposed = marked.agg(F.expr(f"approx_top_k(_fp, {HEAVY_K}, {HEAVY_TRACKED})").alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias("_fp"))
+    summaries = marked.groupBy(F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("_part")).agg(F.expr(f"approx_top_k(_fp, {REPORTED}, {COUNTERS})").alias("top"), F.count(F.lit(1)).alias("_n"))
+    proposed = summaries.select("_n", F.explode("top").alias("t")).where(F.col("t.count") > F.col("_n") / (2 * HEAVY_TRACKED)).where("t.count > 1").select(F.col("t.item").alias("_fp")).distinct()
     heavy = stored(
         marked.join(F.broadcast(proposed), "_fp")
         .groupBy(key)
