@@ -31,7 +31,8 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
-TOKEN = re.compile(r"e[yw][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+# from the first of these letters in a run on; nothing is read again where a run fails
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=e[yw]))(e[yw][A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+)")
 MAGIC = b"openssh-key-v1\x00"
 
 
@@ -139,8 +140,8 @@ def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
             elif is_openssh_key(data):
                 yield "openssh", *m.span()
     for m in TOKEN.finditer(text):
-        if is_token(m[0]):
-            yield "jwt", *m.span()
+        if is_token(m[1]):
+            yield "jwt", *m.span(1)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
