@@ -146,3 +146,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), passages=True).select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLE = """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, a, list_filter(range(1, len(a) + 1), lambda i: length(trim(a[i], ' ')) > 0) AS solid FROM l),
+sp AS (
+  SELECT doc_id, a, unnest(list_concat(
+    list_transform(range(1, len(solid)), lambda k: {'first': solid[k], 'last': solid[k + 1]}),
+    list_transform(list_filter(solid, lambda i: strlen(a[i]) >= 256), lambda i: {'first': i, 'last': i}))) AS s FROM x),
+g AS (SELECT doc_id, s.first AS f, s.last AS t, array_to_string(a[s.first:s.last], chr(10)) AS g FROM sp),
+h AS (SELECT *, first_value(doc_id) OVER o AS wd, first_value(f) OVER o AS wf, first_value(t) OVER o AS wt FROM g WINDOW o AS (PARTITION BY g ORDER BY doc_id, f, t)),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(f, t + 1)))) AS gone FROM h WHERE (doc_id, f, t) > (wd, wf, wt) AND NOT (doc_id = wd AND f <= wt) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN gone IS NULL OR NOT contains(d.text, chr(10)) THEN d.text ELSE array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: NOT list_contains(gone, i)), lambda i: a[i]), chr(10)) END AS text,
+  CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(a) END AS INTEGER) AS n_lines, CAST(CASE WHEN gone IS NULL OR NOT contains(d.text, chr(10)) THEN 0 ELSE len(gone) END AS INTEGER) AS n_removed
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
