@@ -19,9 +19,9 @@ from .texts import span_hashes
 #: Code points with a class here; texts with others take the library's own path.
 LIMIT = 0x250
 #: Pre-tokens that a worker remembers; beyond that it starts afresh.
-REMEMBERED = 1_200_000
+REMEMBERED = 400_000
 #: Code points that are handled at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 # White space below LIMIT, the contractions, and the split pattern they belong to.
 WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0}
@@ -88,9 +88,9 @@ class Remembered:
 
     def reset(self) -> None:
         self.mask = (1 << 16) - 1
-        self.keys, self.slots = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int64)
+        self.keys, self.slots = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
         self.pool, self.pooled = np.zeros(1 << 18, np.uint32), 0
-        self.begin, self.count, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.begin, self.count, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each fingerprint, or -1."""
@@ -128,7 +128,7 @@ class Remembered:
             held, slots = self.keys[self.keys != 0], self.slots[self.keys != 0]
             while 2 * (self.known + len(h)) > self.mask:
                 self.mask = 2 * self.mask + 1
-            self.keys, self.slots = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int64)
+            self.keys, self.slots = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32)
             self.insert(held, slots)
         self.insert(h, entry)
         self.known += len(h)
