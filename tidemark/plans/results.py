@@ -22,8 +22,8 @@ NOT_SUMMARISED = ("id", "head_id", "business_id", "invoice_type_id", "salesperso
 
 
 def look_back(rows: DataFrame, src: Catalog, rules: Rules) -> DataFrame:
-    """Rows changed since the job's last start, less the look-back; a job without rows rejects all."""
-    start = src("job").select((F.col("last_start") - F.expr(f"INTERVAL {rules.look_back_minutes} MINUTES")).alias("_start"))
+    """Rows changed since the job's last start, less the look-back; of several starts the last one counts, and none rejects all."""
+    start = src("job").agg(F.max("last_start").alias("_last")).select((F.col("_last") - F.expr(f"INTERVAL {rules.look_back_minutes} MINUTES")).alias("_start"))  # one row
     return rows.join(F.broadcast(start), F.col("cdc_last_update_date") >= F.col("_start")).drop("_start")
 
 

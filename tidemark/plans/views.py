@@ -55,27 +55,48 @@ def eligible(applications: DataFrame, rules: Rules) -> DataFrame:
     return applications.where((F.col("application_type") == 1) & F.col("status").isin(*STATUS.values()) & (F.col("creation_date") > F.lit(rules.first_creation).cast("timestamp_ntz")))
 
 
-def core(src: Catalog, rules: Rules, tax: DataFrame | None = None) -> DataFrame:
-    """Instances of eligible applications with payment unit and tax date."""
-    a, i = eligible(src("application"), rules), src("instance")
-    i = i.select("instance_id", "application_id", "contract_id", "payment_unit_id", F.col("cdc_last_update_date").alias("i_cdc"), F.col("logical_is_deleted").alias("i_deleted"))
-    tax = tax_dates(src) if tax is None else tax
+def with_instances(src: Catalog, applications: DataFrame) -> DataFrame:
+    """Instances of applications with their payment units; marks and times of both together."""
+    i = src("instance").select("instance_id", "application_id", "contract_id", "payment_unit_id", F.col("cdc_last_update_date").alias("i_cdc"), F.col("logical_is_deleted").alias("i_deleted"))
     return (
-        a.join(i, "application_id")
+        applications.join(i, "application_id")
         .join(src("payment_unit"), "payment_unit_id", "left")
-        .join(tax, "application_code", "left")
         .withColumn("logical_is_deleted_del", F.greatest("logical_is_deleted", "i_deleted"))
         .withColumn("cdc_last_update_date", F.greatest("cdc_last_update_date", "i_cdc"))
         .drop("i_cdc", "i_deleted")
     )
 
 
-def _fact(rows: DataFrame, node_type: str, submit: Column, role: Column, invoice_no: Column) -> DataFrame:
+def core(src: Catalog, rules: Rules, tax: DataFrame | None = None) -> DataFrame:
+    """Instances of eligible applications with payment unit and tax date."""
+    return with_instances(src, eligible(src("application"), rules).join(tax_dates(src) if tax is None else tax, "application_code", "left"))
+
+
+def branch_key() -> Column:
+    """What an application's follow-ups are found by: its work flow when in approval, else its code."""
+    return F.when(F.col("status") == STATUS[APPROVAL], F.col("work_flow_id").cast("string")).otherwise(F.col("application_code"))
+
+
+def follow_ups(src: Catalog, approved: DataFrame | None = None, open_: DataFrame | None = None) -> DataFrame:
+    """What the three branches add to an application, by status and branch key."""
+    approved, open_ = approvals(src) if approved is None else approved, unsigned(src) if open_ is None else open_
+    tasks = src("task").join(src("route"), "route_id", "left").join(src("node"), "node_id", "left")
+    columns = ("status", "_key", "_submit", "_role", "_invoice_no")
+    parts = [
+        tasks.select(F.lit(STATUS[APPROVAL]), F.col("process_id").cast("string"), none("timestamp_ntz"), "node_name", none("string")),
+        approved.join(src("message").select("message"), F.lit(True), "left").select(F.lit(STATUS[SENDING]), "application_code", "approve_date", "message", none("string")),
+        open_.select(F.lit(STATUS[SIGNING]), "application_code", "send_date", F.lit(FINISHED), "invoice_no"),
+    ]
+    a, b, c = (x.toDF(*columns) for x in parts)
+    return a.unionByName(b).unionByName(c)
+
+
+def _fact(rows: DataFrame, node_type: str | Column, submit: Column, role: Column, invoice_no: Column) -> DataFrame:
     when = F.col("applicant_time")
     made = {
         "id": F.col("instance_id"), "head_id": F.col("application_id").cast("string"), "application_code": F.col("application_code"), "period_id": period(when, "yyyyMM"),
         "period_id_dd": period(when, "yyyyMMdd"), "period_id_qty": period(when, "yyyyMMdd"), "business_id": F.col("application_id"), "bill_type": F.lit(BILL), "business_type": F.lit(NORMAL),
-        "node_type": F.lit(node_type), "invoice_type_id": F.lit(-999), "invoice_id": none("bigint"), "invoice_no": invoice_no, "operator_application_id": F.col("application_id"),
+        "node_type": F.lit(node_type) if isinstance(node_type, str) else node_type, "invoice_type_id": F.lit(-999), "invoice_id": none("bigint"), "invoice_no": invoice_no, "operator_application_id": F.col("application_id"),
         "milestone_name": none("string"), "submit_date": submit, "current_handler_id": none("bigint"), "currentrole": role, "todo_billing_id": none("bigint"), "payment_unit_id": none("bigint"),
         "source_code": none("string"), "details_flag": none("string"), "billing_status": none("string"),
     }
@@ -119,6 +140,16 @@ def fact_of(parts: dict[str, DataFrame]) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-def fact(src: Catalog, rules: Rules) -> DataFrame:
-    """The union of the three branches, with the mark that q2 reads."""
-    return fact_of(branches(src, rules))
+def fact(src: Catalog, rules: Rules, tax: DataFrame | None = None, approved: DataFrame | None = None, open_: DataFrame | None = None) -> DataFrame:
+    """The union of the three branches, with the mark that q2 reads.
+
+    An application is in one branch, so one join by status and branch key stands for three, before
+    instances multiply the rows; only approval keeps applications without a follow-up.
+    """
+    tax = tax_dates(src) if tax is None else tax
+    found = follow_ups(src, approved, open_).withColumn("_found", F.lit(True))
+    heads = eligible(src("application"), rules).withColumn("_key", branch_key()).join(tax, "application_code", "left").join(found, ["status", "_key"], "left")
+    heads = heads.where((F.col("status") == STATUS[APPROVAL]) | F.col("_found"))
+    rows = with_instances(src, heads)
+    label = F.when(F.col("status") == STATUS[APPROVAL], APPROVAL).when(F.col("status") == STATUS[SENDING], SENDING).otherwise(SIGNING)
+    return _fact(rows, label, F.when(F.col("status") == STATUS[APPROVAL], F.col("applicant_time")).otherwise(F.col("_submit")), F.col("_role"), F.col("_invoice_no"))

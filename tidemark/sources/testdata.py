@@ -46,7 +46,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         )
 
     def instance() -> DataFrame:
-        rows = table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("contract_id"), F.max("l_partkey").alias("part"), F.max("l_shipdate").alias("cdc_last_update_date"))
+        # dealt by order alone, so that joins on it find their rows in place
+        rows = table("lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("contract_id"), F.max("l_partkey").alias("part"), F.max("l_shipdate").alias("cdc_last_update_date"))
         rows = rows.withColumn("instance_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
         return rows.select("instance_id", F.col("l_orderkey").alias("application_id"), "contract_id", F.when(F.col("l_linenumber") != 1, F.col("part")).alias("payment_unit_id"), "cdc_last_update_date", (F.col("instance_id") % 13 == 0).alias("logical_is_deleted"))
 
