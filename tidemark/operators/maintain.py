@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import counts as C
 from ..plans import views as V
-from ..sources.catalog import DYNAMIC, ROLES, Catalog, with_rows
+from ..sources.catalog import DYNAMIC, ROLES, Catalog, assert_unique, with_rows
 from . import delta as D
 from .state import Store
 
@@ -34,15 +35,21 @@ class Base:
 
     def __init__(self, store: Store, static: Catalog) -> None:
         self.store, self.static = store, static
-        for role in DYNAMIC:
-            store.write(f"base_{role}", static(role).limit(0))
+        for role in ROLES:
+            if role in DYNAMIC:
+                store.write(f"base_{role}", static(role).limit(0))
+            else:
+                assert_unique(static(role), ROLES[role].key)
         store.commit()
 
     def step(self, step: Step) -> None:
+        """Keys are checked in what a step leaves, before any table takes it: the counts by annotation rely on them."""
         for role in DYNAMIC:
             if role in step.inserted or role in step.deleted:
                 old = self.store.get(f"base_{role}")
-                self.store.write(f"base_{role}", D.apply_delta(old, step.inserted.get(role, old.limit(0)), step.deleted.get(role, old.limit(0)), ROLES[role].key))
+                new = self.store.write(f"base_{role}", D.apply_delta(old, step.inserted.get(role, old.limit(0)), step.deleted.get(role, old.limit(0)), ROLES[role].key))
+                if role in step.inserted:
+                    assert_unique(new, ROLES[role].key)
         self.store.commit()
 
     def catalog(self) -> Catalog:
@@ -98,7 +105,9 @@ class JoinFree:
         return V.branches(src, self.rules, rows, s.get("agg_temp").select("application_code", F.col("max").alias("approve_date")), s.get("vp_tic").select(*TRIPLE))
 
     def fact(self, base: Catalog) -> DataFrame:
-        return V.fact_of(self.parts(base))
+        s = self.store
+        tax, approved = (s.get(n).select("application_code", F.col("max").alias(c)) for n, c in (("agg_apt", "tax_invoice_date"), ("agg_temp", "approve_date")))
+        return V.fact(self.catalog(base), self.rules, tax, approved, s.get("vp_tic").select(*TRIPLE))
 
     def step(self, step: Step, base: Catalog) -> None:
         """base holds the dynamic roles after the step."""
@@ -129,47 +138,46 @@ class JoinFree:
         s.commit()
 
         # ids of the fact whose rows may have changed: derive those anew
-        ids = affected_ids(step, base, moved.select("application_code").distinct(), old["vs_oa"].select("application_id", "application_code", "work_flow_id").unionByName(s.get("vs_oa").select("application_id", "application_code", "work_flow_id")))
+        columns = ("application_id", "application_code", "work_flow_id", "status")
+        ids = affected_ids(step, base, moved.select("application_code").distinct(), old["vs_oa"].select(*columns).unionByName(s.get("vs_oa").select(*columns)))
         ids = s.write("touched_ids", ids)
         some = with_rows(base, {"instance": base("instance").join(ids.select(F.col("id").alias("instance_id")), "instance_id", "left_semi")})
         s.set("fact_ids", D.rederive(old["fact_ids"], ids, "id", self._ids(self.fact(some))))
 
-    # counts by annotation: no join result is made
-
-    def count_detail(self, base: Catalog) -> DataFrame:
-        """q1's count form (n), from multiplicities of the branches, sales rows and contracts."""
-        tasks = base("task").groupBy(F.col("process_id").alias("work_flow_id")).agg(F.count(F.lit(1)).alias("_tasks"))
-        triples = self.store.get("vp_tic").groupBy("application_code").agg(F.count(F.lit(1)).alias("_triples"))
-        special = base("message").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_special"))
-        sales = base("region_sales")
-        one = sales.where("source_code = 'added'").groupBy("salesperson_id").agg(F.count(F.lit(1)).alias("_c1"))
-        two = sales.where("source_code = 'ledger'").groupBy("salesperson_id", F.col("unit_code").alias("company_code")).agg(F.count(F.lit(1)).alias("_c2"))
-        apps = self.live().join(tasks, "work_flow_id", "left").join(triples, "application_code", "left").crossJoin(F.broadcast(special)).join(base("company").select("company_id", "company_code"), "company_id", "left").join(one, "salesperson_id", "left").join(two, ["salesperson_id", "company_code"], "left")
-        each = F.when(F.col("status") == 30, F.greatest(F.coalesce("_tasks", F.lit(1)), F.lit(1))).when(F.col("status") == 40, F.col("_special")).otherwise(F.coalesce("_triples", F.lit(0)))
-        factor = F.when(F.col("_c1").isNull() & F.col("_c2").isNull(), 0).otherwise(F.coalesce("_c1", F.lit(1)) * F.coalesce("_c2", F.lit(1)))
-        apps = apps.select("application_id", F.col("cdc_last_update_date").alias("_cdc"), (each * factor).alias("_n")).where("_n > 0")
-        rows = base("instance").join(apps, "application_id").join(base("contract").where("business_source <> 'OEM' OR business_source IS NULL"), "contract_id")
-        start = base("job").select((F.col("last_start") - F.expr(f"INTERVAL {self.rules.look_back_minutes} MINUTES")).alias("_start"))
-        rows = rows.join(F.broadcast(start), F.greatest("cdc_last_update_date", "_cdc") >= F.col("_start"))
-        return rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+    def counts(self, base: Catalog) -> DataFrame:
+        """q1 to q4's count forms (one row) by annotation: no join result is made."""
+        src, s = self.catalog(base), self.store
+        return C.counts(C.annotated(src, self.rules, s.get("agg_temp").select("application_code"), s.get("vp_tic").select(*TRIPLE)))
 
 
 def affected_ids(step: Step, base: Catalog, codes: DataFrame, apps: DataFrame) -> DataFrame:
-    """Instance ids whose fact rows a step may change: their own, and by application, code or work flow."""
-    instances = base("instance").select("instance_id", "application_id")
-    own, by_app = [], []
+    """Instance ids whose fact rows a step may change: their own, and by payment unit, application,
+    code, work flow (of a task, or of the tasks of a route) or, for messages, by being in sending.
+
+    Companies, contracts and users aren't in the fact; queries join them as they are.
+    """
+    instances = base("instance").select("instance_id", "application_id", "payment_unit_id")
+    flows = apps.select("application_id", "work_flow_id")
+    own, by_app = [], [apps.join(codes, "application_code", "left_semi").select("application_id")]
     for rows in (step.inserted, step.deleted):
         if "instance" in rows:
             own.append(rows["instance"].select(F.col("instance_id").alias("id")))
+        if "payment_unit" in rows:
+            own.append(instances.join(rows["payment_unit"].select("payment_unit_id"), "payment_unit_id", "left_semi").select(F.col("instance_id").alias("id")))
         if "application" in rows:
             by_app.append(rows["application"].select("application_id"))
-        if "task" in rows:
-            by_app.append(apps.join(rows["task"].select(F.col("process_id").alias("work_flow_id")).distinct(), "work_flow_id", "left_semi").select("application_id"))
-    by_app.append(apps.join(codes, "application_code", "left_semi").select("application_id"))
-    found = by_app[0]
+        tasks = [rows["task"]] if "task" in rows else []
+        if "route" in rows:
+            tasks.append(base("task").join(rows["route"].select("route_id"), "route_id", "left_semi"))
+        for found in tasks:
+            by_app.append(flows.join(found.select(F.col("process_id").alias("work_flow_id")), "work_flow_id", "left_semi").select("application_id"))
+        if "message" in rows:
+            some = rows["message"].agg((F.count(F.lit(1)) > 0).alias("_some")).where("_some")  # one row, or none
+            by_app.append(apps.where(F.col("status") == V.STATUS[V.SENDING]).join(F.broadcast(some)).select("application_id"))
+    reached = by_app[0]
     for more in by_app[1:]:
-        found = found.unionByName(more)
-    ids = instances.join(found.distinct(), "application_id", "left_semi").select(F.col("instance_id").alias("id"))
+        reached = reached.unionByName(more)
+    ids = instances.join(reached.distinct(), "application_id", "left_semi").select(F.col("instance_id").alias("id"))
     for more in own:
         ids = ids.unionByName(more)
     return ids.distinct()
@@ -198,10 +206,10 @@ class Full:
                     moved = part if moved is None else moved.unionByName(part)
         moved = moved if moved is not None else self._both(base).limit(0).withColumn("w", F.lit(1))
         s.write("full_tic", D.fold_count(s.get("full_tic"), _open(moved), TRIPLE))
-        apps = base("application").select("application_id", "application_code", "work_flow_id")
-        for rows in (step.deleted,):
-            if "application" in rows:
-                apps = apps.unionByName(rows["application"].select("application_id", "application_code", "work_flow_id"))
+        columns = ("application_id", "application_code", "work_flow_id", "status")
+        apps = base("application").select(*columns)
+        if "application" in step.deleted:
+            apps = apps.unionByName(step.deleted["application"].select(*columns))
         ids = s.write("full_touched", affected_ids(step, base, moved.select("application_code").distinct(), apps))
         some = with_rows(base, {"instance": base("instance").join(ids.select(F.col("id").alias("instance_id")), "instance_id", "left_semi")})
         core_old = s.get("full_core")

@@ -36,15 +36,21 @@ inv AS (
  UNION ALL SELECT {inv}, NULL, NULL, NULL, '2' FROM events WHERE event_id % 2 = 1 AND {live("event_id")}),
 srcs AS (SELECT code AS application_code, approved AS approve_date, st AS status, ino AS invoice_no, sent AS send_date, office AS office_receive_date, cust AS customer_receive_date, tax AS tax_invoice_date, tag AS type
  FROM inv WHERE (tag = '1' AND st >= 3) OR (tag = '2' AND st IN (30, 40))),
+unit AS (SELECT p_partkey, p_name FROM part WHERE {live("p_partkey")}),
+route AS (SELECT n_nationkey, n_regionkey FROM nation WHERE {live("n_nationkey")}),
+message AS (SELECT r_name FROM region WHERE r_name = 'ASIA' AND {live("r_regionkey")}),
+comp AS (SELECT n_nationkey, n_name FROM nation WHERE {live("n_nationkey")}),
+con AS (SELECT s_suppkey, s_name FROM supplier WHERE {live("s_suppkey")}),
+usr AS (SELECT c_custkey FROM customer WHERE {live("c_custkey")}),
 task AS (SELECT user_id AS wf, event_id % 30 AS route FROM events WHERE event_type = 'signup' AND {live("event_id")}),
 apt AS (SELECT application_code, max(tax_invoice_date) AS tax_invoice_date FROM srcs WHERE type = '1' GROUP BY 1),
 tmp AS (SELECT application_code, max(approve_date) AS approve_date FROM srcs WHERE status = 30 GROUP BY 1),
 tic AS (SELECT DISTINCT invoice_no, application_code, send_date FROM srcs WHERE status >= 40 AND (office_receive_date IS NULL OR customer_receive_date IS NULL)),
 elig AS (SELECT * FROM app WHERE kind = 1 AND st IN (30, 40, 50) AND created > TIMESTAMP '1996-01-01'),
 core AS (SELECT a.*, i.iid, i.con, i.pu, greatest(a.created, i.cdc) AS cdc, a.gone OR i.iid % 13 = 0 AS del, p.p_name AS pun, apt.tax_invoice_date AS taxd
- FROM elig a JOIN inst i ON i.aid = a.aid LEFT JOIN part p ON p.p_partkey = i.pu LEFT JOIN apt ON apt.application_code = a.code),
-appr AS ({_branch(APPROVAL, "c.created", "r.r_name", "CAST(NULL AS VARCHAR)", "core c LEFT JOIN task t ON t.wf = c.wf LEFT JOIN nation n ON n.n_nationkey = t.route LEFT JOIN region r ON r.r_regionkey = n.n_regionkey WHERE c.st = 30")}),
-send AS ({_branch(SENDING, "m.approve_date", "g.r_name", "CAST(NULL AS VARCHAR)", "core c JOIN tmp m ON m.application_code = c.code LEFT JOIN region g ON g.r_name = 'ASIA' WHERE c.st = 40")}),
+ FROM elig a JOIN inst i ON i.aid = a.aid LEFT JOIN unit p ON p.p_partkey = i.pu LEFT JOIN apt ON apt.application_code = a.code),
+appr AS ({_branch(APPROVAL, "c.created", "r.r_name", "CAST(NULL AS VARCHAR)", "core c LEFT JOIN task t ON t.wf = c.wf LEFT JOIN route n ON n.n_nationkey = t.route LEFT JOIN region r ON r.r_regionkey = n.n_regionkey WHERE c.st = 30")}),
+send AS ({_branch(SENDING, "m.approve_date", "g.r_name", "CAST(NULL AS VARCHAR)", "core c JOIN tmp m ON m.application_code = c.code LEFT JOIN message g ON TRUE WHERE c.st = 40")}),
 sign AS ({_branch(SIGNING, "t.send_date", f"'{FINISHED}'", "t.invoice_no", "core c JOIN tic t ON t.application_code = c.code WHERE c.st = 50")}),
 fact AS (SELECT * FROM appr UNION ALL SELECT * FROM send UNION ALL SELECT * FROM sign)
 """
@@ -78,7 +84,7 @@ def detail() -> str:
   CASE WHEN sp.s_suppkey % 10 <> 1 THEN 'DIRECT' END AS business_source, r.r_name AS currency_code,
   CAST(CAST((r.r_regionkey + 1) * 0.25 AS DECIMAL(15,6)) * f.total_amount AS DECIMAL(38,10)) AS usd_total_amount, CAST(CAST((r.r_regionkey + 1) * 1.75 AS DECIMAL(15,6)) * f.total_amount AS DECIMAL(38,10)) AS rmb_total_amount,
   CAST(f.total_amount AS DECIMAL(38,10)) AS total_amount, CAST(1 AS BIGINT) AS con_mi_qty, CAST(NULL AS VARCHAR) AS current_handler_code, CAST(NULL AS VARCHAR) AS current_handler_name, {reasons}
- FROM fact f JOIN supplier sp ON sp.s_suppkey = f.contract_id AND sp.s_suppkey % 10 <> 0 LEFT JOIN nation co ON co.n_nationkey = f.company_id
+ FROM fact f JOIN con sp ON sp.s_suppkey = f.contract_id AND sp.s_suppkey % 10 <> 0 LEFT JOIN comp co ON co.n_nationkey = f.company_id
   LEFT JOIN nation s1 ON s1.n_nationkey = f.salesperson_id AND s1.n_regionkey IN (0, 1)
   LEFT JOIN nation s2 ON s2.n_nationkey = f.salesperson_id AND s2.n_regionkey IN (1, 2) AND s2.n_nationkey % 5 = co.n_nationkey % 5
   LEFT JOIN customer cu ON cu.c_custkey = f.customer_id LEFT JOIN region r ON r.r_regionkey = f.currency_id

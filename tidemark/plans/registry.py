@@ -194,9 +194,14 @@ def _heads(spark: SparkSession, d: str) -> DataFrame:
     return s.join(k, bare_head(F.col("head_id")) == F.col("h"))
 
 
-def _annotated(spark: SparkSession, d: str) -> DataFrame:
-    r = runner(spark, d, "insertion_only")
-    return r.methods["join_free"].count_detail(r.base.catalog()).select(F.col("n").cast("bigint").alias("n"))
+def _annotated(short: str) -> Query:
+    """The four counts from the join-free method's states."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        r = runner(spark, d, SHORT[short])
+        return r.methods["join_free"].counts(r.base.catalog())
+
+    return query
 
 
 def _methods(short: str) -> Query:
@@ -222,7 +227,7 @@ def queries() -> dict[str, Query]:
         "fact": _view(lambda s: V.fact(s, RULES)), "lookback_filter": _view(lambda s: R.look_back(V.fact(s, RULES), s, RULES).select("id", "cdc_last_update_date")),
         "apply_delta": _apply, "fold_max_insert": lambda s, d: _folded(s, d, False), "fold_max_delete_recalc": lambda s, d: _folded(s, d, True), "distinct_refcount": _refcount, "null_safe_merge": _merge,
         "semi_join_flags": _flags, "births_deaths": _transitions, "delta_join": _delta_join, "accumulate_guard": _guard, "multiset_diff": _diff, "weighted_sum": _weighted, "string_agg_distinct_ordered": _listed,
-        "expr_key_join": _heads, "count_by_annotation": _annotated,
+        "expr_key_join": _heads,
         "base_row_counts": _base_counts,
     }
     for name, (_, label) in BRANCH.items():
@@ -239,6 +244,7 @@ def queries() -> dict[str, Query]:
         out[f"joinfree_{short}_fact"] = _fact(short, "join_free")
         out[f"full_{short}_fact"] = _fact(short, "full")
         out[f"full_{short}_tic"] = _state(short, "full_tic")
+        out[f"joinfree_{short}_counts"] = _annotated(short)
         out[f"methods_differ_{short}"] = _methods(short)
     out["stream_slide_fact"] = _fact("slide", "join_free", True)
     return out
@@ -274,8 +280,7 @@ def oracles() -> dict[str, str]:
         "weighted_sum": "SELECT o_orderstatus, CAST(sum(CAST(o_totalprice AS DECIMAL(22,3))) AS DOUBLE) AS total FROM orders JOIN events ON user_id = o_custkey GROUP BY 1",
         "string_agg_distinct_ordered": "SELECT user_id, substr(string_agg(DISTINCT event_type, ',' ORDER BY event_type), 1, 1000) AS kinds FROM events GROUP BY 1",
         "expr_key_join": "SELECT o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS head_id, CAST(o_orderkey AS VARCHAR) AS h FROM orders WHERE o_orderstatus = 'P'",
-        "count_by_annotation": e + "SELECT count(*) AS n FROM q1",
-        "base_row_counts": b + "SELECT 'application' AS role, count(*) AS n FROM app UNION ALL SELECT 'instance', count(*) FROM inst UNION ALL SELECT 'customer_invoice', count(*) FROM inv WHERE tag = '1' UNION ALL SELECT 'issued_invoice', count(*) FROM inv WHERE tag = '2' UNION ALL SELECT 'task', count(*) FROM task",
+        "base_row_counts": b + "SELECT 'application' AS role, count(*) AS n FROM app UNION ALL SELECT 'instance', count(*) FROM inst UNION ALL SELECT 'customer_invoice', count(*) FROM inv WHERE tag = '1' UNION ALL SELECT 'issued_invoice', count(*) FROM inv WHERE tag = '2' UNION ALL SELECT 'task', count(*) FROM task UNION ALL SELECT 'payment_unit', count(*) FROM unit UNION ALL SELECT 'route', count(*) FROM route UNION ALL SELECT 'message', count(*) FROM message UNION ALL SELECT 'company', count(*) FROM comp UNION ALL SELECT 'contract', count(*) FROM con UNION ALL SELECT 'user', count(*) FROM usr",
     }
     for name, (table, _) in BRANCH.items():
         out[name] = b + f"SELECT {O.fact_columns()} FROM {table}"
@@ -300,6 +305,7 @@ def oracles() -> dict[str, str]:
             f"joinfree_{short}_fact": x + f"SELECT {O.fact_columns()} FROM fact",
             f"full_{short}_fact": x + f"SELECT {O.fact_columns()} FROM fact",
             f"full_{short}_tic": x + "SELECT invoice_no, application_code, send_date, count(*) AS cnt FROM srcs WHERE status >= 40 AND (office_receive_date IS NULL OR customer_receive_date IS NULL) GROUP BY 1, 2, 3",
+            f"joinfree_{short}_counts": O.everything(window[scenario]) + "SELECT (SELECT count(*) FROM q1) AS q1, (SELECT count(*) FROM (SELECT * FROM q2all UNION ALL SELECT * FROM q2)) AS q2, (SELECT count(*) FROM q3) AS q3, (SELECT count(*) FROM q4) AS q4",
             f"methods_differ_{short}": "SELECT CAST(0 AS BIGINT) AS n",
         }
     out["stream_slide_fact"] = O.base(window["sliding_window"]) + f"SELECT {O.fact_columns()} FROM fact"

@@ -21,9 +21,8 @@ class Role:
 
 ROLES = {r.name: r for r in (
     Role("application", "application_id"), Role("instance", "instance_id"), Role("customer_invoice", "source_id"), Role("issued_invoice", "source_id"),
-    Role("payment_unit", "payment_unit_id", False), Role("task", "task_id"), Role("route", "route_id", False), Role("node", "node_id", False), Role("message", "message_id", False),
-    Role("company", "company_id", False), Role("region_sales", "sales_row_id", False), Role("customer", "customer_id", False), Role("contract", "contract_id", False),
-    Role("currency", "from_currency_id", False), Role("invoice_type", "invoice_type_id", False), Role("user", "user_id", False), Role("job", "job_id", False),
+    Role("payment_unit", "payment_unit_id"), Role("task", "task_id"), Role("route", "route_id"), Role("message", "message_id"), Role("company", "company_id"), Role("contract", "contract_id"), Role("user", "user_id"),
+    Role("node", "node_id", False), Role("region_sales", "sales_row_id", False), Role("customer", "customer_id", False), Role("currency", "from_currency_id", False), Role("invoice_type", "invoice_type_id", False), Role("job", "job_id", False),
 )}
 DYNAMIC = tuple(r.name for r in ROLES.values() if r.dynamic)
 
