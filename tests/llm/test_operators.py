@@ -130,7 +130,7 @@ def test_op2_any_shared_bucket(spark):
             a = media._blur(a)
         a = (a - a.min()) / (a.max() - a.min()) * 255
         for j in range(4):
-            b = np.clip(np.rint(a + rng.normal(size=a.shape) * (0, 24, 32, 40)[j]), 0, 255).astype(np.uint8)
+            b = np.clip(np.rint(a + rng.normal(size=a.shape) * (0, 30, 40, 55)[j]), 0, 255).astype(np.uint8)
             rows.append((10 * k + j, b"P5 %d %d 255\n" % (140, 120) + b.tobytes()))
             described[10 * k + j] = media.describe(media.grey(rows[-1][1]))
 
