@@ -125,13 +125,11 @@ def test_op2_any_shared_bucket(spark):
     rng = np.random.default_rng(8)
     rows, described = [], {}
     for k in range(12):
-        a = rng.normal(size=(120, 140))
-        for _ in range(3):
-            a = media._blur(a)
-        a = (a - a.min()) / (a.max() - a.min()) * 255
-        for j in range(4):
-            b = np.clip(np.rint(a + rng.normal(size=a.shape) * (0, 30, 40, 55)[j]), 0, 255).astype(np.uint8)
-            rows.append((10 * k + j, b"P5 %d %d 255\n" % (140, 120) + b.tobytes()))
+        a = texture(rng, 3)
+        changed = edits(a, rng)
+        for j, b in enumerate([a, changed["scale 0.8"], changed["turn 15"], changed["turn 40"]]):
+            b = np.clip(np.rint(b), 0, 255).astype(np.uint8)
+            rows.append((10 * k + j, b"P5 %d %d 255\n" % b.shape[::-1] + b.tobytes()))
             described[10 * k + j] = media.describe(media.grey(rows[-1][1]))
 
     def buckets(bits):
