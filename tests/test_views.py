@@ -26,7 +26,7 @@ def plain(df):
     return names, sorted(tuple(str(None if v != v or v is None else v) for v in r) for r in df[names].astype(object).where(df[names].notna(), None).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", ["src_union", "fact", "q1_rows", "q2_rows", "q3_rows", "q4_rows", "q1_minmax", "apply_delta", "fold_max_delete_recalc", "null_safe_merge", "delta_join", "births_deaths", "multiset_diff"])
+@pytest.mark.parametrize("name", ["src_union", "fact", "approval", "q1_rows", "q2_rows", "q3_rows", "q4_rows", "q1_minmax", "q2_count", "q3_count", "q4_count", "apply_delta", "fold_max_delete_recalc", "null_safe_merge", "delta_join", "births_deaths", "multiset_diff"])
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:
@@ -113,6 +113,64 @@ def test_store_commits_together(spark):
     assert s.get("x").count() == 5
 
 
+def test_store_goes_on_from_its_commits(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    s = Store(spark, root)
+    s.write("x", spark.range(3))
+    s.write("y", spark.range(1))
+    s.commit(4)
+    s.write("x", spark.range(9))  # never committed
+    again = Store(spark, root)
+    assert (again.done, again.get("x").count(), again.get("y").count()) == (4, 3, 1)
+    again.write("x", spark.range(7))
+    again.write("x", spark.range(8))
+    assert again.now("x").count() == 8 and again.get("x").count() == 3
+    again.commit(5)
+    assert Store(spark, root).get("x").count() == 8
+
+
+def test_stream_goes_on_after_a_stop(spark, tmp_path, monkeypatch):
+    source, folder = testdata.catalog(spark, SF), f"file://{tmp_path}/stream"
+    apply, seen = S.Runner.apply, []
+
+    def failing(self, plan):
+        seen.append(plan.step)
+        if seen == [1, 2]:
+            self.store.write("fact_ids", spark.range(1))  # half a step is written
+            raise OSError("lost")
+        apply(self, plan)
+
+    monkeypatch.setattr(S.Runner, "apply", failing)
+    with pytest.raises(Exception, match="lost"):
+        S.run_stream(spark, source, registry.RULES, "sliding_window", folder, 50, 50)
+    r = S.run_stream(spark, source, registry.RULES, "sliding_window", folder, 50, 50)
+    assert seen == [1, 2, 2] and r.store.done == 2
+    now = r.base.catalog()
+    assert D.multiset_diff(r.methods["join_free"].fact(now), registry.V.fact(S.live_catalog(source, "sliding_window", 100, 50), registry.RULES)).isEmpty()
+
+
+def test_counts_by_annotation_equal_rows(spark):
+    """On a part of the tables with null marks, several sales rows and special messages."""
+    src = testdata.catalog(spark, SF)
+    apps = src("application").withColumn("logical_is_deleted", F.when(F.col("application_id") % 3 > 0, F.col("application_id") % 3 == 1))
+    sales = src("region_sales")
+    more = with_rows(src, {"application": apps, "region_sales": sales.unionByName(sales.withColumn("sales_row_id", F.col("sales_row_id") + 1000)), "message": src("message").unionByName(src("message").withColumn("message_id", F.lit(99).cast("long")))})
+    fact = registry.V.fact(more, registry.RULES)
+    parts = {n: fact.where(F.col("node_type") == n) for n in registry.V.STATUS}
+    one = R.detail(fact, more, registry.RULES)
+    dtl = one.unionByName(R.accumulate(one, R.detail_gone(one, parts), "id"))
+    three = R.summary(dtl, fact, more, registry.RULES)
+    want = (one.count(), R.detail_gone(dtl, parts).count(), three.count(), R.summary_gone(three, dtl).count())
+    assert tuple(registry.C.counts(registry.C.annotated(more, registry.RULES)).first()) == want and min(want) > 0
+
+
+def test_ingest_refuses_repeated_keys(spark):
+    r = S.Runner(spark, testdata.catalog(spark, SF), registry.RULES, ())
+    rows = r.source("company").limit(1)
+    with pytest.raises(ValueError):
+        r.base.step(S.Step({"company": rows.unionByName(rows)}, {}))
+
+
 def test_csv_slices(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "b")], "k int, v string")
     write_csv(df, str(tmp_path / "a"))

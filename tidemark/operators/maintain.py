@@ -35,12 +35,13 @@ class Base:
 
     def __init__(self, store: Store, static: Catalog) -> None:
         self.store, self.static = store, static
+        if f"base_{DYNAMIC[0]}" in store:
+            return
         for role in ROLES:
             if role in DYNAMIC:
                 store.write(f"base_{role}", static(role).limit(0))
             else:
                 assert_unique(static(role), ROLES[role].key)
-        store.commit()
 
     def step(self, step: Step) -> None:
         """Keys are checked in what a step leaves, before any table takes it: the counts by annotation rely on them."""
@@ -50,10 +51,9 @@ class Base:
                 new = self.store.write(f"base_{role}", D.apply_delta(old, step.inserted.get(role, old.limit(0)), step.deleted.get(role, old.limit(0)), ROLES[role].key))
                 if role in step.inserted:
                     assert_unique(new, ROLES[role].key)
-        self.store.commit()
 
     def catalog(self) -> Catalog:
-        return with_rows(self.static, {r: self.store.get(f"base_{r}") for r in DYNAMIC})
+        return with_rows(self.static, {r: self.store.now(f"base_{r}") for r in DYNAMIC})
 
 
 def _invoice_rows(role: str, rows: DataFrame) -> DataFrame:
@@ -69,6 +69,8 @@ def _open(rows: DataFrame) -> DataFrame:
 class JoinFree:
     def __init__(self, store: Store, base: Catalog, rules: V.Rules) -> None:
         self.store, self.rules = store, rules
+        if "fact_ids" in store:
+            return
         src = {r: _invoice_rows(r, base(r)) for r in SOURCES}
         both = src["customer_invoice"].unionByName(src["issued_invoice"])
         for r in SOURCES:
@@ -78,8 +80,7 @@ class JoinFree:
         tic = store.write("vp_tic", _open(both).groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("cnt")))
         inst = store.write("vp_inst", base("instance").groupBy("application_id").agg(F.count(F.lit(1)).alias("cnt")))
         store.write("vs_oa", self._flagged(V.eligible(base("application"), rules), inst, temp, tic))
-        store.commit()
-        store.set("fact_ids", self._ids(V.fact(self.catalog(base), rules)))
+        store.write("fact_ids", self._ids(V.fact(self.catalog(base), rules)))
 
     def _flagged(self, rows: DataFrame, inst: DataFrame, temp: DataFrame, tic: DataFrame) -> DataFrame:
         rows = D.has_key(rows, inst, "application_id", "flag_inst")
@@ -91,7 +92,7 @@ class JoinFree:
 
     def live(self) -> DataFrame:
         """Applications that take part in a branch."""
-        return self.store.get("vs_oa").where("flag_inst AND (status = 30 OR (status = 40 AND flag_temp) OR (status = 50 AND flag_tic))")
+        return self.store.now("vs_oa").where("flag_inst AND (status = 30 OR (status = 40 AND flag_temp) OR (status = 50 AND flag_tic))")
 
     def catalog(self, base: Catalog) -> Catalog:
         """base with the applications reduced by their flags."""
@@ -100,14 +101,14 @@ class JoinFree:
     def parts(self, base: Catalog) -> dict[str, DataFrame]:
         """The three branches, joined now from the states."""
         src, s = self.catalog(base), self.store
-        tax = s.get("agg_apt").select("application_code", F.col("max").alias("tax_invoice_date"))
+        tax = s.now("agg_apt").select("application_code", F.col("max").alias("tax_invoice_date"))
         rows = V.core(src, self.rules, tax)
-        return V.branches(src, self.rules, rows, s.get("agg_temp").select("application_code", F.col("max").alias("approve_date")), s.get("vp_tic").select(*TRIPLE))
+        return V.branches(src, self.rules, rows, s.now("agg_temp").select("application_code", F.col("max").alias("approve_date")), s.now("vp_tic").select(*TRIPLE))
 
     def fact(self, base: Catalog) -> DataFrame:
         s = self.store
-        tax, approved = (s.get(n).select("application_code", F.col("max").alias(c)) for n, c in (("agg_apt", "tax_invoice_date"), ("agg_temp", "approve_date")))
-        return V.fact(self.catalog(base), self.rules, tax, approved, s.get("vp_tic").select(*TRIPLE))
+        tax, approved = (s.now(n).select("application_code", F.col("max").alias(c)) for n, c in (("agg_apt", "tax_invoice_date"), ("agg_temp", "approve_date")))
+        return V.fact(self.catalog(base), self.rules, tax, approved, s.now("vp_tic").select(*TRIPLE))
 
     def step(self, step: Step, base: Catalog) -> None:
         """base holds the dynamic roles after the step."""
@@ -135,19 +136,18 @@ class JoinFree:
         apps = base("application").limit(0)
         came = V.eligible(step.inserted.get("application", apps), rules)
         s.write("vs_oa", D.apply_delta(flagged, self._flagged(came, inst, temp, tic), step.deleted.get("application", apps), "application_id"))
-        s.commit()
 
         # ids of the fact whose rows may have changed: derive those anew
         columns = ("application_id", "application_code", "work_flow_id", "status")
-        ids = affected_ids(step, base, moved.select("application_code").distinct(), old["vs_oa"].select(*columns).unionByName(s.get("vs_oa").select(*columns)))
+        ids = affected_ids(step, base, moved.select("application_code").distinct(), old["vs_oa"].select(*columns).unionByName(s.now("vs_oa").select(*columns)))
         ids = s.write("touched_ids", ids)
         some = with_rows(base, {"instance": base("instance").join(ids.select(F.col("id").alias("instance_id")), "instance_id", "left_semi")})
-        s.set("fact_ids", D.rederive(old["fact_ids"], ids, "id", self._ids(self.fact(some))))
+        s.write("fact_ids", D.rederive(old["fact_ids"], ids, "id", self._ids(self.fact(some))))
 
     def counts(self, base: Catalog) -> DataFrame:
         """q1 to q4's count forms (one row) by annotation: no join result is made."""
         src, s = self.catalog(base), self.store
-        return C.counts(C.annotated(src, self.rules, s.get("agg_temp").select("application_code"), s.get("vp_tic").select(*TRIPLE)))
+        return C.counts(C.annotated(src, self.rules, s.now("agg_temp").select("application_code"), s.now("vp_tic").select(*TRIPLE)))
 
 
 def affected_ids(step: Step, base: Catalog, codes: DataFrame, apps: DataFrame) -> DataFrame:
@@ -184,43 +184,55 @@ def affected_ids(step: Step, base: Catalog, codes: DataFrame, apps: DataFrame) -
 
 
 class Full:
-    """The views as tables: core and fact by id, and the small ones recomputed from counted state."""
+    """The views as tables: maxima and open invoices by counted state, core and fact by affected id."""
 
     def __init__(self, store: Store, base: Catalog, rules: V.Rules) -> None:
         self.store, self.rules = store, rules
-        store.write("full_core", V.core(base, rules))
-        store.write("full_tic", _open(self._both(base)).groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("cnt")))
-        store.write("full_fact", V.fact(base, rules))
-        store.commit()
+        if "full_fact" in store:
+            return
+        both = self._both(base)
+        store.write("full_apt", D.max_state(_invoice_rows("customer_invoice", base("customer_invoice")), "application_code", "tax_invoice_date"))
+        store.write("full_temp", D.max_state(both.where("status = 30"), "application_code", "approve_date"))
+        store.write("full_tic", _open(both).groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("cnt")))
+        store.write("full_core", V.core(base, rules, self._maxima("full_apt", "tax_invoice_date")))
+        store.write("full_fact", V.fact(base, rules, *self._small()))
 
     @staticmethod
     def _both(base: Catalog) -> DataFrame:
         return _invoice_rows("customer_invoice", base("customer_invoice")).unionByName(_invoice_rows("issued_invoice", base("issued_invoice")))
 
+    def _maxima(self, name: str, column: str) -> DataFrame:
+        return self.store.now(name).select("application_code", F.col("max").alias(column))
+
+    def _small(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return self._maxima("full_apt", "tax_invoice_date"), self._maxima("full_temp", "approve_date"), self.store.now("full_tic").select(*TRIPLE)
+
     def step(self, step: Step, base: Catalog) -> None:
-        s, moved = self.store, None
+        """base holds the dynamic roles after the step."""
+        s, nothing = self.store, self._both(base).limit(0).withColumn("w", F.lit(1))
+        moved = {r: nothing for r in SOURCES}
         for r in SOURCES:
             for sign, rows in ((1, step.inserted), (-1, step.deleted)):
                 if r in rows:
-                    part = _invoice_rows(r, rows[r]).withColumn("w", F.lit(sign))
-                    moved = part if moved is None else moved.unionByName(part)
-        moved = moved if moved is not None else self._both(base).limit(0).withColumn("w", F.lit(1))
-        s.write("full_tic", D.fold_count(s.get("full_tic"), _open(moved), TRIPLE))
+                    moved[r] = moved[r].unionByName(_invoice_rows(r, rows[r]).withColumn("w", F.lit(sign)))
+        every = moved["customer_invoice"].unionByName(moved["issued_invoice"])
+        s.write("full_apt", D.fold_max(s.now("full_apt"), _invoice_rows("customer_invoice", base("customer_invoice")), moved["customer_invoice"], "application_code", "tax_invoice_date"))
+        s.write("full_temp", D.fold_max(s.now("full_temp"), self._both(base).where("status = 30"), every.where("status = 30"), "application_code", "approve_date"))
+        s.write("full_tic", D.fold_count(s.now("full_tic"), _open(every), TRIPLE))
         columns = ("application_id", "application_code", "work_flow_id", "status")
         apps = base("application").select(*columns)
         if "application" in step.deleted:
             apps = apps.unionByName(step.deleted["application"].select(*columns))
-        ids = s.write("full_touched", affected_ids(step, base, moved.select("application_code").distinct(), apps))
+        ids = s.write("full_touched", affected_ids(step, base, every.select("application_code").distinct(), apps))
         some = with_rows(base, {"instance": base("instance").join(ids.select(F.col("id").alias("instance_id")), "instance_id", "left_semi")})
-        core_old = s.get("full_core")
-        core_new = s.write("full_core", D.rederive(core_old, ids.select(F.col("id").alias("instance_id")), "instance_id", V.core(some, self.rules)))
-        rows = core_new.join(ids.select(F.col("id").alias("instance_id")), "instance_id", "left_semi")
-        s.write("full_fact", D.rederive(s.get("full_fact"), ids, "id", V.fact_of(V.branches(some, self.rules, rows, V.approvals(base), V.unsigned(base)))))
-        s.commit()
+        tax, approved, open_ = self._small()
+        core = s.write("full_core", D.rederive(s.now("full_core"), ids.select(F.col("id").alias("instance_id")), "instance_id", V.core(some, self.rules, tax)))
+        rows = core.join(ids.select(F.col("id").alias("instance_id")), "instance_id", "left_semi")
+        s.write("full_fact", D.rederive(s.now("full_fact"), ids, "id", V.fact_of(V.branches(some, self.rules, rows, approved, open_))))
 
     def parts(self, base: Catalog) -> dict[str, DataFrame]:
-        fact = self.store.get("full_fact")
+        fact = self.store.now("full_fact")
         return {n: fact.where(F.col("node_type") == n) for n in V.STATUS}
 
     def fact(self, base: Catalog) -> DataFrame:
-        return self.store.get("full_fact")
+        return self.store.now("full_fact")

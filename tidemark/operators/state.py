@@ -1,17 +1,27 @@
-"""Versioned Parquet state: each change writes a new version, so lineage ends and a failed step leaves the old one."""
+"""Versioned Parquet state: each change writes a new version, so lineage ends and a failed step leaves the old one.
+
+A commit is one small file, put in place by a rename, that names the versions of all states; a
+store that is opened on a folder with commits goes on from the last one.
+"""
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+COMMITS = "_commits"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors reach; a temporary folder where it is unset."""
+    """spark.checkpoint.dir, which all executors reach; a temporary folder where it is unset in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,13 +35,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 class Store:
-    """Named states; set() writes a version, get() reads the newest committed one."""
+    """Named states: write() makes a version, commit() makes all new versions current at once.
+
+    get() reads the committed version, now() the one written since, if any.  done is the number
+    that the last commit was given (the steps that the states hold).
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark, self.root = spark, root or f"{shared_root(spark)}/tidemark-state-{uuid.uuid4().hex}"
         self.versions: dict[str, int] = {}
-        self.schemas: dict = {}
+        self.schemas: dict[str, StructType] = {}
         self.pending: dict[str, int] = {}
+        self.commits = self.done = 0
+        self._restore()
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _restore(self) -> None:
+        folder, fs = self._path(COMMITS)
+        if not fs.exists(folder):
+            return
+        names = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json"))
+        if names:
+            found = json.loads(self.spark.read.text(f"{self.root}/{COMMITS}/{names[-1]}", wholetext=True).first()[0])
+            self.versions, self.done, self.commits = found["versions"], found["done"], int(names[-1].split(".")[0])
+            self.schemas = {n: StructType.fromJson(s) for n, s in found["schemas"].items()}
 
     def _read(self, name: str, version: int) -> DataFrame:
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}/v{version:06d}")
@@ -39,27 +69,39 @@ class Store:
     def get(self, name: str) -> DataFrame:
         return self._read(name, self.versions[name])
 
+    def now(self, name: str) -> DataFrame:
+        return self._read(name, self.pending[name]) if name in self.pending else self.get(name)
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.versions or name in self.pending
+
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Write a version that commit() makes the newest; returns it."""
-        version = self.versions.get(name, 0) + 1
+        """Write a version that commit() makes the current one; returns it."""
+        version = max(self.versions.get(name, 0), self.pending.get(name, 0)) + 1
         self.schemas[name] = df.schema
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version:06d}")
         self.pending[name] = version
         return self._read(name, version)
 
-    def commit(self) -> None:
-        """All versions written since the last commit become the newest at once; those before them go."""
-        for name, version in self.pending.items():
-            self.versions[name] = version
-            self._drop(name, version - 2)
+    def commit(self, done: int | None = None) -> None:
+        """All versions written since the last commit become current; of older ones the last committed stays for readers."""
+        before, self.versions = self.versions, self.versions | self.pending
+        self.done = self.done if done is None else done
+        self.commits += 1
+        text = json.dumps({"versions": self.versions, "done": self.done, "schemas": {n: json.loads(s.json()) for n, s in self.schemas.items()}})
+        draft, fs = self._path(f"{COMMITS}/{self.commits:08d}.draft")
+        out = fs.create(draft, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not fs.rename(draft, self._path(f"{COMMITS}/{self.commits:08d}.json")[0]):
+            raise OSError(f"commit {self.commits} exists already")
+        for name in self.pending:
+            folder, fs = self._path(name)
+            for f in fs.listStatus(folder):
+                if f.getPath().getName() not in {f"v{v:06d}" for v in (before.get(name), self.versions[name]) if v}:
+                    fs.delete(f.getPath(), True)
         self.pending = {}
 
-    def _drop(self, name: str, version: int) -> None:
-        if version > 0:
-            jvm, path = self.spark._jvm, f"{self.root}/{name}/v{version:06d}"
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
     def set(self, name: str, df: DataFrame) -> DataFrame:
         out = self.write(name, df)
         self.commit()

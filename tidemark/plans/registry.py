@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -12,7 +12,7 @@ from pyspark.sql.types import DecimalType
 
 from ..functions import bare_head, joined_values
 from ..operators import delta as D
-from ..operators.state import written
+from ..operators.state import shared_root, written
 from ..sources import testdata
 from ..streaming import scenario as S
 from . import counts as C
@@ -38,7 +38,7 @@ def runner(spark: SparkSession, sf_dir: str, scenario: str, stream: bool = False
     if key not in _runs:
         source = testdata.catalog(spark, sf_dir)
         if stream:
-            _runs[key] = S.run_stream(spark, source, RULES, scenario, "file://" + tempfile.mkdtemp(prefix="tidemark-stream-"), SLIDE, WINDOW)
+            _runs[key] = S.run_stream(spark, source, RULES, scenario, f"{shared_root(spark)}/tidemark-stream-{uuid.uuid4().hex}", SLIDE, WINDOW)
         else:
             _runs[key] = S.run(spark, source, RULES, scenario, SLIDE, WINDOW, ("join_free", "full"))
     return _runs[key]

@@ -90,16 +90,24 @@ def live_catalog(source: Catalog, scenario: str, percent: int, window: int) -> C
 class Runner:
     """Keeps base tables, both maintainers and accumulated results through the steps of a scenario."""
 
-    def __init__(self, spark: SparkSession, source: Catalog, rules: V.Rules, methods: tuple[str, ...] = ("join_free",), results: bool = False) -> None:
+    def __init__(self, spark: SparkSession, source: Catalog, rules: V.Rules, methods: tuple[str, ...] = ("join_free",), results: bool = False, root: str | None = None) -> None:
+        """A root that holds the commits of a run goes on after its last step."""
         self.spark, self.source, self.rules, self.results = spark, source, rules, results
-        self.store = Store(spark)
+        self.store = Store(spark, root)
         self.base = Base(self.store, source)
         makers = {"join_free": JoinFree, "full": Full}
         self.methods = {m: makers[m](self.store, self.base.catalog(), rules) for m in methods if m in makers}
         self.logical = [m for m in methods if m not in makers]
         self.metrics: list[dict] = []
+        if not self.store.commits:
+            self.store.commit(0)
 
     def apply(self, plan: Plan) -> None:
+        """One step: all states change in one commit, or none does."""
+        if plan.step <= self.store.done:
+            return
+        if plan.step != self.store.done + 1:
+            raise ValueError(f"step {plan.step} after step {self.store.done}")
         step = step_of(plan, self.source)
         self.base.step(step)
         now = self.base.catalog()
@@ -112,6 +120,7 @@ class Runner:
                 began = time.time()
                 self.accumulate(name, now)
                 self.metrics.append({"scenario": plan.scenario, "step": plan.step, "phase": "build", "method": name, "seconds": time.time() - began})
+        self.store.commit(plan.step)
 
     def parts(self, method: str, now: Catalog) -> dict[str, DataFrame]:
         """The branches as a method gives them: recomputed and logical views are expanded when asked."""
@@ -124,13 +133,13 @@ class Runner:
         dtl, tot = f"detail_{method}", f"summary_{method}"
 
         def add(name: str, rows: DataFrame, key: str) -> None:
-            target = s.get(name) if name in s.versions else rows.limit(0)
-            s.set(name, target.unionByName(R.accumulate(target, rows, key)))
+            target = s.now(name) if name in s else rows.limit(0)
+            s.write(name, target.unionByName(R.accumulate(target, rows, key)))
 
         add(dtl, R.detail(fact, now, self.rules), "id")
-        add(dtl, R.detail_gone(s.get(dtl), parts), "id")
-        add(tot, R.summary(s.get(dtl), fact, now, self.rules), "head_id")
-        add(tot, R.summary_gone(s.get(tot), s.get(dtl)), "head_id")
+        add(dtl, R.detail_gone(s.now(dtl), parts), "id")
+        add(tot, R.summary(s.now(dtl), fact, now, self.rules), "head_id")
+        add(tot, R.summary_gone(s.now(tot), s.now(dtl)), "head_id")
 
     def differences(self, a: str, b: str) -> int:
         """Rows that two methods' accumulated results have differently."""
@@ -149,21 +158,24 @@ def run(spark: SparkSession, source: Catalog, rules: V.Rules, scenario: str, sli
 
 
 def run_stream(spark: SparkSession, source: Catalog, rules: V.Rules, scenario: str, folder: str, slide: int = 25, window: int = 50, methods: tuple[str, ...] = ("join_free",)) -> Runner:
-    """The same steps from a stream of manifests, one row a step, each applied by a micro-batch.
+    """The same steps from a stream of manifests, one file a step, each applied by a micro-batch.
 
     All tables of a step change together, which independent streams of tables couldn't promise.
+    Manifests, progress and states live in folder, which all executors reach: called again on it,
+    a stream that was stopped goes on after the last committed step.
     """
-    runner = Runner(spark, source, rules, methods)
-    plans = plan_steps(scenario, slide, window)
-    spark.createDataFrame([(p.step, json.dumps(asdict(p))) for p in plans], "step int, plan string").repartitionByRange(len(plans), "step").write.mode("overwrite").json(f"{folder}/manifest")
-    done: set[int] = set()
+    runner = Runner(spark, source, rules, methods, root=f"{folder}/states")
+    manifest = f"{folder}/manifest"
+    path = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        for p in plan_steps(scenario, slide, window):  # one after the other: a stream reads files by their age
+            spark.createDataFrame([(p.step, json.dumps(asdict(p)))], "step int, plan string").coalesce(1).write.mode("append").json(manifest)
 
     def batch(rows: DataFrame, _: int) -> None:
-        for r in rows.orderBy("step").collect():
-            if r.step not in done:
-                runner.apply(Plan(**json.loads(r.plan)))
-                done.add(r.step)
+        for r in rows.orderBy("step").collect():  # one row a step
+            runner.apply(Plan(**json.loads(r.plan)))
 
-    stream = spark.readStream.schema("step int, plan string").json(f"{folder}/manifest").writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    reader = spark.readStream.schema("step int, plan string").option("maxFilesPerTrigger", 1).json(manifest)
+    stream = reader.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     stream.awaitTermination()
     return runner
