@@ -521,11 +521,35 @@ def test_op8_held_out_and_edges(spark, edge, empty):
 def test_op8_grammar():
     g = toxicity.Grammar({"idiot": 4.0, "achlich*": 4.0}, [1.0, 1.0, 1.0, 1.0, 0.0, 0.0], 0.0)
     hit = lambda t: {p for p, v in zip(toxicity.PATTERNS, g.features(t), strict=True) if v}
-    assert hit("what an Idiot.") == {"insult"} and hit("you idiot") == hit("idiot, you!") == {"insult_target"}
-    assert hit("not an idiot") == {"negated"} and hit("she said he is an idiot") == {"reported"} and hit("i will kill you") == {"threat_target"}
+    assert hit("what an Idiot.") == {"insult"} and hit("you idiot") == hit("idiot, you!") == {"insult", "insult_target"}
+    assert hit("not an idiot") == {"negated"} and hit("she said he is an idiot") == {"reported"} and hit("i will kill you") == {"threat", "threat_target"}
     assert hit("achlichem Wort") == {"insult"} and hit("unachlich idiotic") == hit("") == hit(None) == set()
 
 
+def test_op8_clauses_beat_words(spark):
+    """The same words, denied or quoted in harmless documents: words alone can't tell, clauses do."""
+    rng = random.Random(12)
+    filler = [f"{a}{b}" for a in ("lor", "dol", "con", "adi", "tem") for b in ("em", "or", "sec", "pis", "pus")]
+    bad = ["blockhead", "dimwit", "rotter", "nitwit"]
+    rows = []
+    for i in range(1600):
+        word, toxic = rng.choice(bad), i % 2
+        said = rng.choice([f"you are a {word}", f"what a {word} he is"]) if toxic else rng.choice([f"she is not a {word}", f"the witness said he is a {word}"])
+        text = ". ".join([" ".join(rng.choices(filler, k=8)), said, " ".join(rng.choices(filler, k=8))])
+        rows.append((i, text, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).where("held_out").join(docs, "doc_id").collect()
+    assert len(out) > 200 and sum(r.predicted == r.toxic for r in out) >= 0.97 * len(out)
+
+
+def test_op8_repeats_ties_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "idiot " * 200_000, "x"), (1, "fine", "y"), (2, "fine", "z"), (2, "fine", "z"), (None, None, None)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert len(out) == 5 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
+    assert len({r.score for r in out if r.doc_id == 2}) == 1
+
+
 def plain_line_dedup(rows):
     """Chunks by the same boundaries, compared as text; the boundaries come from the operator's own hashes."""
     seen, out = set(), []

@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words map to classes (insult, threat, target, negation, report, other) through a lexicon whose
-insult entries, words or word beginnings, are learned from labels by grouped counts.  Small
+Words map to classes (insult, threat, target, negation, report, other) through a lexicon.  Small
 transducers for negation, target and reported speech run over the classes of a clause; their
 product is one transducer, precomputed as a table, whose arcs emit a pattern for each insult or
-threat in its context.  Documents are scored by the weighted sum of the patterns that their
-clauses match, through a logistic function; a document without a match gets the base rate.
+threat in its context.  The insult class, words or word beginnings, is learned from labels by
+grouped counts of the words that stand where the transducers find neither negation nor reported
+speech, so a word that is as often denied or quoted in harmless documents is learned too.
+Documents are scored by the weighted sum of the patterns that their clauses match, through a
+logistic function, in which a target only adds; one without a match gets the base rate.
 """
 
 from __future__ import annotations
@@ -18,15 +20,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import lean, small_batches, stored
 
 #: Labelled rows that the lexicon and the weights are learned from, at most (those of smallest hash).
 SAMPLE = 16_000
-#: Lexicon entries at most; they are ranked by evidence.
-LEXICON = 2_000
 #: Lengths of word beginnings that may enter the lexicon.
 STEMS = (4, 5, 6, 7, 8)
 
@@ -101,6 +102,17 @@ class Grammar:
         c = self.seeds.get(word, OTHER)
         return c, 3.0 if c == THREATS else 0.0
 
+    def plain_words(self, text: str) -> set[str]:
+        """Words of lower-cased text that stand somewhere neither negated nor in reported speech."""
+        out = set()
+        for clause in CLAUSE.split(text):
+            state = 0
+            for m in WORD.finditer(clause):
+                if self.table[state][INSULT][1] in (0, 1):
+                    out.add(m[0])
+                state = self.table[state][self.seeds.get(m[0], OTHER)][0]
+        return out
+
     def hits(self, text: str) -> Iterator[int]:
         """Places in lower-cased text where a word starts that may be an insult or a threat."""
         if self._found is None:
@@ -117,7 +129,7 @@ class Grammar:
                 yield at
 
     def features(self, text: str | None) -> np.ndarray:
-        """Sum of the matched words' weights for each pattern, log(1 + x)."""
+        """Sum of the matched words' weights for each pattern, log(1 + x); what is aimed at a target counts for both."""
         out = [0.0] * len(PATTERNS)
         if text:
             low, done = text.lower(), -1
@@ -136,7 +148,9 @@ class Grammar:
                     if pattern >= 0:
                         matched.append((pattern, w))
                 for pattern, w in matched:  # a target may also follow
-                    out[pattern + (aimed and pattern in (0, 2))] += w
+                    out[pattern - (pattern in (1, 3))] += w
+                    if pattern in (1, 3) or aimed and pattern in (0, 2):
+                        out[pattern | 1] += w
         return np.log1p(np.array(out))
 
     def score(self, text: str | None) -> float:
@@ -161,21 +175,30 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[list[flo
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: str) -> Grammar:
     """A grammar from at most SAMPLE labelled rows for which the SQL condition usable(id) holds."""
     rows = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull()).where(usable)
-    sample = stored(rows.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE), "labelled")
-    texts = stored(docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id"), "labelled-texts")
+    sample = stored(rows.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE), "labelled")
+    # one text of an id that repeats
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+    texts = stored(texts, "labelled-texts")
     n_pos, n_all = texts.agg(F.coalesce(F.sum("_y"), F.lit(0)), F.count(F.lit(1))).first()
     if not n_pos or n_pos == n_all:
         return Grammar({}, [0.0, 0.0, 0.5, 1.0, 0.0, 0.0], math.log((n_pos + 0.5) / (n_all - n_pos + 0.5)) if n_all else -3.0)
-    words = texts.select("_id", "_y", F.explode(F.array_distinct(F.split(F.lower("_text"), "[^\\p{L}]+"))).alias("w")).where(F.length("w") >= 3)
+    blank = Grammar({}, [0.0] * 6, 0.0)
+
+    @lean
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(blank.plain_words(t.lower())) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["_y", "words"])
+
+    words = texts.select("_y", "_text").mapInArrow(plain, "_y int, words array<string>").select("_y", F.explode("words").alias("w")).where(F.length("w") >= 3)
     stems = F.array(F.col("w"), *[F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in STEMS])
-    counts = words.select("_id", "_y", F.explode(F.array_compact(stems)).alias("term")).groupBy("term").agg(F.sum("_y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    counts = words.select("_y", F.explode(F.array_compact(stems)).alias("term")).groupBy("term").agg(F.sum("_y").alias("pos"), F.count(F.lit(1)).alias("n"))
     odds = F.log((F.col("pos") + 0.1) / (n_pos + 1.0)) - F.log((F.col("n") - F.col("pos") + 0.1) / (n_all - n_pos + 1.0))
+    # at most 400 times the plain words of a mean toxic document
     found = (
         counts.where((F.col("pos") >= max(3, n_pos // 400)) & (F.col("pos") >= 0.9 * F.col("n")))
         .withColumn("odds", odds)
         .where(F.col("odds") >= 3.0)
         .orderBy(F.col("pos").desc(), F.length("term"), "term")
-        .limit(LEXICON)
         .collect()
     )
     terms: dict[str, float] = {}
