@@ -494,6 +494,48 @@ def test_op7_local_search_empties_bins():
     assert better
 
 
+def fewest_bins(pieces, capacity):
+    """By trying every bin for every piece."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= pieces[i]}.values():
+            place(i + 1, [r - pieces[i] if j == k else r for j, r in enumerate(rooms)])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+def test_op7_against_brute_force():
+    rng = random.Random(6)
+    over = searched = started = 0
+    for _ in range(60):
+        pieces = sorted((rng.randint(4, 30) for _ in range(10)), reverse=True)
+        least = fewest_bins(pieces, 40)
+        sizes = Counter(pieces)
+        poor = packing.next_fit(sizes, 40)
+        found, alone = sum(packing.plan(sizes, 40).values()), packing.local_search(poor, 40, packing.lower_bound(sizes, 40))
+        assert packing.lower_bound(sizes, 40) <= least <= found <= sum(packing.best_fit(sizes, 40).values())
+        over += found > least
+        started, searched = started + sum(poor.values()), searched + sum(alone.values())
+    assert over <= 3 and searched < 0.95 * started  # the search by itself, from a poor plan
+
+
+def test_op7_search_saves_bins_on_documents(spark):
+    lengths = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"), packing.tokenizer_path()).groupBy("length").count().collect()
+    sizes = {int(r.length): r["count"] for r in lengths}
+    bins = lambda plan: sum(plan.values())
+    assert bins(packing.plan(sizes)) == packing.lower_bound(sizes, packing.CAPACITY) < bins(packing.best_fit(sizes, packing.CAPACITY))
+    assert bins(packing.local_search(packing.next_fit(sizes, packing.CAPACITY), packing.CAPACITY, 0)) <= bins(packing.best_fit(sizes, packing.CAPACITY))
+
+
 def test_op7_ids_equal_the_library():
     from tokenizers import Tokenizer
 

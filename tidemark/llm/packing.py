@@ -1,11 +1,13 @@
-"""Best-fit packing of token sequences, improved by swap-based local search.
+"""Best-fit packing of token sequences by swap-based local search.
 
 Texts become pieces of at most `capacity` tokens in one pass; only their lengths matter for the
 plan.  There are at most `capacity` different lengths, so the plan is made from the histogram of
 lengths, whose size is fixed whatever the input's: bins with equal contents are one kind with a
-number of copies.  Best fit, longest first, gives the first plan; local search then exchanges one
-for one, two for one, or moves documents between underfull kinds where that increases the sum of
-squared fills, until bins run empty or the lower bound is met.  Pieces get their places by their
+number of copies.  Best fit, longest first, gives the first plan, which local search improves: the
+emptiest kind exchanges one for one or two for one with another underfull kind, or moves a
+document there, by the exchange that raises the sum of squared fills most, until bins run empty
+and the lower bound is met, or no exchange raises the sum.  All partners and all pairs are looked
+through, by a table of the most that one or two pieces come to.  Pieces get their places by their
 rank among pieces of their length, from counts by task, so nothing is sorted or gathered.
 """
 
@@ -25,10 +27,10 @@ from .common import lean, small_batches, stored
 from .tokens import encoder
 
 CAPACITY = 2048
-#: Exchanges that the local search tries at most; each settles many copies of a kind at once.
-STEPS = 4_000
-#: Kinds of underfull bins that one exchange chooses its partner from.
-PARTNERS = 256
+#: Kinds with up to so many lengths are looked through together; those with more apart.
+NARROW = 8
+#: The search ends after so many exchanges for each kind of underfull bin without a bin less.
+PATIENCE = 2
 
 #: A kind of bin: its contents as sorted (length, count) pairs.
 Kind = tuple[tuple[int, int], ...]
@@ -87,67 +89,136 @@ def best_fit(sizes: dict[int, int], capacity: int) -> Counter[Kind]:
     return out
 
 
-def exchange(poor: Kind, rich: Kind, room: int) -> tuple[int, dict[int, int], dict[int, int]] | None:
-    """The move, one-for-one or two-for-one exchange that fills rich best, at most by room: (tokens gained, out of poor, out of rich)."""
-    best: tuple[int, dict[int, int], dict[int, int]] | None = None
-
-    def offer(gain: int, out: dict[int, int], back: dict[int, int]) -> None:
-        nonlocal best
-        if 0 < gain <= room and (best is None or gain > best[0]):
-            best = (gain, out, back)
-
-    ours = list(poor)
-    theirs = [0, *(s for s, _ in rich)]
-    pairs = [(a, b) for i, (a, n) in enumerate(ours) for b, _ in ours[i:] if a != b or n > 1]
-    for y in theirs:
-        back = {y: 1} if y else {}
-        for x, _ in ours:
-            offer(x - y, {x: 1}, back)
-        if y:
-            for a, b in pairs[:PARTNERS]:
-                offer(a + b - y, {a: 2} if a == b else {a: 1, b: 1}, back)
-    return best
+def next_fit(sizes: dict[int, int], capacity: int) -> Counter[Kind]:
+    """Bins filled one after the other, longest pieces first, never looking back: a poor plan to measure the search by."""
+    out: Counter[Kind] = Counter()
+    held: dict[int, int] = {}
+    room = capacity
+    for s in sorted(sizes, reverse=True):
+        left = sizes[s]
+        if held and (n := min(left, room // s)):
+            held[s], room, left = n, room - n * s, left - n
+        if not left:
+            continue
+        if held:
+            out[tuple(sorted(held.items()))] += 1
+            held, room = {}, capacity
+        each = capacity // s
+        if left >= each:
+            out[((s, each),)] += left // each
+        if left % each:
+            held, room = {s: left % each}, capacity - left % each * s
+    if held:
+        out[tuple(sorted(held.items()))] += 1
+    return out
 
 
-def local_search(bins: Counter[Kind], capacity: int, bound: int, steps: int = STEPS) -> Counter[Kind]:
-    """bins after exchanges that increase the sum of squared fills; never more bins than before."""
-    bins = Counter(bins)
-    stuck: set[Kind] = set()
-    while steps > 0 and sum(bins.values()) > bound:
-        under = sorted((k for k in bins if fill(k) < capacity), key=lambda k: (fill(k), k))
-        poor = next((k for k in under if k not in stuck), None)
-        if poor is None or len(under) < 2 and bins[poor] < 2:
-            break
-        best: tuple[int, Kind, dict[int, int], dict[int, int]] | None = None
-        for rich in reversed(under[-PARTNERS:]):
-            steps -= 1
-            if rich == poor and bins[poor] < 2:
+class Underfull:
+    """The underfull kinds of a packing by slot: room, lengths (padded with 0) and number of copies."""
+
+    def __init__(self, bins: Counter[Kind], capacity: int) -> None:
+        self.capacity, self.copies = capacity, dict.fromkeys(bins, 0)
+        self.kinds: list[Kind] = []
+        self.slot: dict[Kind, int] = {}
+        self.free: list[int] = []
+        self.room, self.width = np.zeros(64, np.int64), np.zeros(64, np.int64)  # width 0: no kind
+        self.lengths = np.zeros((64, NARROW + 1), np.int64)
+        for kind, n in bins.items():
+            self.add(kind, n)
+
+    def add(self, kind: Kind, n: int) -> None:
+        have = self.copies.get(kind, 0) + n
+        if have:
+            self.copies[kind] = have
+        else:
+            self.copies.pop(kind, None)
+        if not have and kind in self.slot:
+            i = self.slot.pop(kind)
+            self.width[i] = 0
+            self.free.append(i)
+        elif have and kind not in self.slot and (room := self.capacity - fill(kind)):
+            i = self.free.pop() if self.free else len(self.kinds)
+            if i == len(self.kinds):
+                self.kinds.append(kind)
+            self.kinds[i] = kind
+            if i >= len(self.room):
+                self.room, self.width, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.room, self.width, self.lengths))
+            if len(kind) >= self.lengths.shape[1]:
+                self.lengths = np.hstack([self.lengths, np.zeros((len(self.lengths), len(kind)), np.int64)])
+            self.slot[kind], self.room[i], self.width[i] = i, room, len(kind)
+            self.lengths[i] = 0
+            self.lengths[i, 1 : len(kind) + 1] = [s for s, _ in kind]
+
+    def partner(self, poor: int) -> tuple[int, int, int] | None:
+        """The slot, and the tokens that go there and come back (0 for none), of the exchange that raises the sum of squared fills most."""
+        ours, room = self.kinds[poor], self.room[poor]
+        x, n = np.array([s for s, _ in ours], np.int64), np.array([n for _, n in ours])
+        two = x[:, None] + x[None, :]
+        allowed = (two <= self.capacity) & (~np.eye(len(x), dtype=bool) | (n[:, None] > 1))
+        # the most that one or two of our pieces come to, up to each number of tokens
+        most = np.zeros(self.capacity + 1, np.int64)
+        most[x] = x
+        most[two[allowed]] = two[allowed]
+        most = np.maximum.accumulate(most)
+        best: tuple[int, int, int, int] | None = None
+        for slots, columns in ((np.flatnonzero((self.width > 0) & (self.width <= NARROW)), NARROW + 1), (np.flatnonzero(self.width > NARROW), self.lengths.shape[1])):
+            if self.copies[ours] < 2:
+                slots = slots[slots != poor]
+            if not len(slots):
                 continue
-            found = exchange(poor, rich, capacity - fill(rich))
-            # squares grow when the fuller bin gains, or a smaller one overtakes
-            if found and fill(rich) + found[0] > fill(poor) and (best is None or found[0] > best[0]):
-                best = (found[0], rich, found[1], found[2])
-                if found[0] == capacity - fill(rich):
-                    break
-        if best is None:
+            back, theirs = self.lengths[slots, :columns], self.room[slots, None]
+            gain = most[np.minimum(back + theirs, self.capacity)] - back
+            gain[:, 1:][back[:, 1:] == 0] = 0
+            rise = np.where(gain > 0, gain * (room - theirs + gain), 0)  # half of it
+            at = int(rise.argmax())
+            r, c = divmod(at, columns)
+            if rise[r, c] > 0 and (best is None or rise[r, c] > best[0]):
+                best = int(rise[r, c]), int(slots[r]), int(back[r, c] + gain[r, c]), int(back[r, c])
+        return best and best[1:]
+
+
+def split(kind: Kind, tokens: int) -> dict[int, int]:
+    """One piece of the kind, or two, with so many tokens."""
+    have = dict(kind)
+    if tokens in have:
+        return {tokens: 1}
+    a = next(s for s in have if tokens - s in have and (tokens != 2 * s or have[s] > 1))
+    return {a: 2} if tokens == 2 * a else {a: 1, tokens - a: 1}
+
+
+def local_search(bins: Counter[Kind], capacity: int, bound: int) -> Counter[Kind]:
+    """bins after exchanges that each raise the sum of squared fills; never more bins than before."""
+    state, total = Underfull(bins, capacity), sum(bins.values())
+    least, since, stuck = total, 0, set()
+    while total > bound and since <= PATIENCE * len(state.slot):
+        rest = np.flatnonzero(state.width)
+        rest = [i for i in rest[np.argsort(-state.room[rest], kind="stable")][: len(stuck) + 1].tolist() if state.kinds[i] not in stuck]
+        if not rest:
+            break
+        poor = state.kinds[rest[0]]
+        found = state.partner(rest[0])
+        if found is None:
             stuck.add(poor)
             continue
-        _, rich, out, back = best
-        times = bins[poor] // 2 if rich == poor else min(bins[poor], bins[rich])
+        rich = state.kinds[found[0]]
+        out, back = split(poor, found[1]), {found[2]: 1} if found[2] else {}
+        times = state.copies[poor] // 2 if rich == poor else min(state.copies[poor], state.copies[rich])
         for kind, gone, came in ((poor, out, back), (rich, back, out)):
-            bins[kind] -= times
-            if not bins[kind]:
-                del bins[kind]
+            state.add(kind, -times)
             if new := changed(kind, gone, came):
-                bins[new] += times
+                state.add(new, times)
+            else:
+                total -= times
         stuck.clear()
-    return bins
+        since += 1
+        if total < least:
+            least, since = total, 0
+    return Counter(state.copies)
 
 
 def plan(sizes: dict[int, int], capacity: int = CAPACITY) -> Counter[Kind]:
     """Kinds of bins, with their numbers, that hold exactly these lengths."""
-    bins = best_fit(sizes, capacity)
-    return local_search(bins, capacity, lower_bound(sizes, capacity))
+    return local_search(best_fit(sizes, capacity), capacity, lower_bound(sizes, capacity))
 
 
 def places(bins: Counter[Kind], capacity: int) -> dict[str, np.ndarray]:
