@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .results import REASONS
 from .views import APPROVAL, BILL, FACT, FINISHED, NORMAL, SENDING, SIGNING
 
@@ -130,3 +132,27 @@ SUMMARY_ALL = ["head_id", "logical_is_deleted", *SUMMARY, *MONEY, "con_mi_qty",
 
 def everything(condition: str | None = None) -> str:
     return base(condition) + detail() + gone() + summary()
+
+
+#: Tables of one step, which get the step's number when several stand in one statement.
+STEP_TABLES = "app inst inv srcs unit route message comp con usr task apt tmp tic elig core appr send sign fact q1 scope q3 acc dtl q2all q2 sum1 q4 sums".split()
+
+
+def accumulated(conditions: list[str]) -> str:
+    """dtl and sums after several steps, whose live rows are given: tables dtl_k and sums_k for each step k from 1 on."""
+    columns, totals = ", ".join(DETAIL), ", ".join(SUMMARY_ALL)
+    out = []
+    for k, condition in enumerate(conditions, 1):
+        text = base(condition).removeprefix("WITH ") + detail()
+        if k == 1:
+            acc, sums = f"SELECT {columns} FROM q1", f"SELECT {totals} FROM q3"
+        else:
+            fresh = "NOT EXISTS (SELECT 1 FROM {0} o WHERE o.{1} = n.{1} AND o.logical_is_deleted = n.logical_is_deleted)"
+            acc = f"SELECT {columns} FROM dtl_{k - 1} UNION ALL SELECT {columns} FROM q1 n WHERE " + fresh.format(f"dtl_{k - 1}", "id")
+            sums = f"SELECT {totals} FROM sums_{k - 1} UNION ALL SELECT {totals} FROM q3 n WHERE " + fresh.format(f"sums_{k - 1}", "head_id")
+        tombs = gone().replace("FROM q1 q WHERE", "FROM acc q WHERE").replace("SELECT 1 FROM q1 WHERE q1.id = g.id AND q1.logical_is_deleted", "SELECT 1 FROM acc WHERE acc.id = g.id AND acc.logical_is_deleted").replace(" FROM q1 UNION ALL", " FROM acc UNION ALL")
+        text += f", acc AS ({acc})" + tombs + summary().split(",\n q4 AS")[0] + f""", sum1 AS ({sums}),
+ q4 AS (SELECT s.* REPLACE (TRUE AS logical_is_deleted) FROM sum1 s JOIN (SELECT head_id AS h FROM dtl GROUP BY 1 HAVING sum(CASE WHEN logical_is_deleted THEN 0 ELSE 1 END) = 0) x ON replace(replace(s.head_id, 'false', ''), 'true', '') = x.h),
+ sums AS (SELECT {totals} FROM sum1 UNION ALL SELECT {totals} FROM q4 n WHERE NOT EXISTS (SELECT 1 FROM sum1 o WHERE o.head_id = n.head_id AND o.logical_is_deleted))"""
+        out.append(re.sub(rf"\b({'|'.join(STEP_TABLES)})\b", rf"\1_{k}", text))
+    return "WITH " + ",\n".join(out) + "\n"

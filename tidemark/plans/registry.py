@@ -194,6 +194,22 @@ def _heads(spark: SparkSession, d: str) -> DataFrame:
     return s.join(k, bare_head(F.col("head_id")) == F.col("h"))
 
 
+#: Accumulated results: two steps of half the slices, over all methods.
+HALF = 50
+METHODS = ("join_free", "full", "recompute")
+
+
+def accumulating(spark: SparkSession, sf_dir: str, short: str) -> S.Runner:
+    key = (spark.sparkContext.applicationId, sf_dir, short, "results")
+    if key not in _runs:
+        _runs[key] = S.run(spark, testdata.catalog(spark, sf_dir), RULES, SHORT[short], HALF, HALF, METHODS, results=True)
+    return _runs[key]
+
+
+def _accumulated(short: str, table: str, method: str) -> Query:
+    return lambda spark, d: plain(R.steady(accumulating(spark, d, short).store.get(f"{table}_{method}")))
+
+
 def _annotated(short: str) -> Query:
     """The four counts from the join-free method's states."""
 
@@ -216,6 +232,7 @@ def _methods(short: str) -> Query:
     return query
 
 
+ACCUMULATED = {"dtl": "detail", "sum": "summary"}
 BRANCH = {"approval": ("appr", V.APPROVAL), "send": ("send", V.SENDING), "countersign": ("sign", V.SIGNING)}
 FORMS = {"q1": ("id", "application_code", "submit_date", "total_amount"), "q2": ("id", "application_code", "submit_date", "total_amount"), "q3": ("head_id", "total_amount"), "q4": ("head_id", "total_amount")}
 
@@ -247,6 +264,10 @@ def queries() -> dict[str, Query]:
         out[f"joinfree_{short}_counts"] = _annotated(short)
         out[f"methods_differ_{short}"] = _methods(short)
     out["stream_slide_fact"] = _fact("slide", "join_free", True)
+    for short in SHORT:
+        for name, table in ACCUMULATED.items():
+            for method in METHODS:
+                out[f"accumulated_{name}_{short}_{method}"] = _accumulated(short, table, method)
     return out
 
 
@@ -308,5 +329,10 @@ def oracles() -> dict[str, str]:
             f"joinfree_{short}_counts": O.everything(window[scenario]) + "SELECT (SELECT count(*) FROM q1) AS q1, (SELECT count(*) FROM (SELECT * FROM q2all UNION ALL SELECT * FROM q2)) AS q2, (SELECT count(*) FROM q3) AS q3, (SELECT count(*) FROM q4) AS q4",
             f"methods_differ_{short}": "SELECT CAST(0 AS BIGINT) AS n",
         }
+    for short, scenario in SHORT.items():
+        both = O.accumulated([f"({S.live(scenario, p, HALF)})" for p in range(HALF, 101, HALF)])
+        for method in METHODS:
+            out[f"accumulated_dtl_{short}_{method}"] = both + f"SELECT {O.money(O.DETAIL)} FROM dtl_2"
+            out[f"accumulated_sum_{short}_{method}"] = both + f"SELECT {O.money(O.SUMMARY_ALL)} FROM sums_2"
     out["stream_slide_fact"] = O.base(window["sliding_window"]) + f"SELECT {O.fact_columns()} FROM fact"
     return out

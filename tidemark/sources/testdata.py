@@ -25,15 +25,21 @@ def _case(column: str, values: dict[str, int]) -> Column:
     return out
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    schemas: dict[str, StructType] = {}
+#: Schemas by path, each inferred once by a Spark job: files at a path don't change theirs.
+_schemas: dict[str, StructType] = {}
+
+
+#: Roles of a session, which are plans and hold no rows.
+_roles: dict[tuple[str, str, str], DataFrame] = {}
+
 
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     def table(name: str) -> DataFrame:
-        """A fresh scan; the schema is inferred, by a Spark job, only the first time."""
+        """A fresh scan."""
         path = f"{sf_dir}/{name}.parquet"
-        if name not in schemas:
-            schemas[name] = spark.read.parquet(path).schema
-        return spark.read.schema(schemas[name]).parquet(path)
+        if path not in _schemas:
+            _schemas[path] = spark.read.parquet(path).schema
+        return spark.read.schema(_schemas[path]).parquet(path)
 
     def application() -> DataFrame:
         o = table("orders")
@@ -85,4 +91,11 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         "user": lambda: table("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("last_name")),
         "job": lambda: spark.range(1).select(F.col("id").alias("job_id"), F.lit(LAST_START).cast("timestamp_ntz").alias("last_start")),
     }
-    return lambda name: makers[name]()
+
+    def role(name: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _roles:
+            _roles[key] = makers[name]()
+        return _roles[key]
+
+    return role
