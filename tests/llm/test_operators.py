@@ -396,6 +396,31 @@ def test_op5_long_urls(tmp_path):
         assert [h["warc-target-uri"] for h in warc.records_of(f, 0, len(data), len(data))] == [warc.one_line(u) for u in urls]
 
 
+def test_op5_foreign_records(spark, tmp_path):
+    def foreign(kind, block, *more):
+        return "\r\n".join(["WARC/1.0", *([f"WARC-Type: {kind}"] if kind else []), *more, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    data = b"".join(warc.member(x) for x in (
+        foreign("warcinfo", b"software: x", "WARC-Record-ID: <urn:uuid:1>"), foreign("response", b"HTTP/1.1 200 OK\r\n\r\nbody", "WARC-Target-URI: http://a/"),
+        foreign("revisit", b"HTTP/1.1 304\r\n\r\n", "WARC-Refers-To: <urn:uuid:2>"), foreign("revisit", b""), foreign("", b"abc"), warc.record(7, "u", b"own", None),
+    ))
+    (tmp_path / "a.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.gz", len(data))], "path string, bytes long")
+    rows = [(r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in warc.read_archives(manifest, 64).collect()]
+    assert sorted(rows, key=str) == sorted([
+        (None, None, 11, "warcinfo", None, b"software: x"), (None, "http://a/", 4, "response", None, b"body"), (None, None, None, "revisit", None, None), (None, None, None, "revisit", None, None),
+        (None, None, 3, None, None, b"abc"), (7, "u", 3, "response", None, b"own"),
+    ], key=str)
+
+
+def test_op5_nulls_repeats_and_clashes(spark):
+    rows = [(None, "u", "same"), (1, None, "same"), (1, None, "same"), (2, "u" * 70000, "same"), (3, "u", None), (4, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(9) for c in ("digest", "winner", "r_id", "size", "refers_to")})
+    out = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(warc.archive(pages)).collect()]
+    assert sorted(out, key=str) == sorted([(None, 4, "revisit", 2), (1, 4, "revisit", 2), (1, 4, "revisit", 2), (2, 4, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None)], key=str)
+    assert warc.read_archives(warc.archive(pages.limit(0))).isEmpty()
+
+
 def test_op5_rejects_false_magic(tmp_path):
     import pyarrow as pa
 

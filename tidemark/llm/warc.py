@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, resolve_groups, small_batches, stored
+from .common import lean, new_path, resolve_groups, small_batches, stored
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of one range of the reader, and of one file of the writer, about.
@@ -72,6 +72,7 @@ def member(data: bytes, level: int = 4) -> bytes:
 def write_archives(pages: DataFrame, root: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record per row of (page_id, url, html, refers_to); returns the stored manifest (path, bytes)."""
 
+    @lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(root)
         fs.create_dir(base, recursive=True)
@@ -175,7 +176,10 @@ def records_of(source: pa.NativeFile, start: int, end: int, size: int) -> Iterat
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of every record.
 
-    payload is null for revisits.  Digest and size of a response are those of the bytes read.
+    payload is null for revisits.  Digest and size of a response are those of the bytes read; of a
+    revisit those that its headers give, null where they don't.  Records of archives from
+    elsewhere come too, of whatever type, the whole block as payload where it is no response;
+    page_id is null where the record's id isn't one of write_archives.
     """
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = ranges.repartition(max(1, min(ranges.count(), 100_000)), "path", "start")
@@ -184,6 +188,7 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
         tail = urn.strip("<>").removeprefix(URN)
         return int(tail) if tail.lstrip("-").isdigit() else None
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -197,14 +202,16 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
                 rows, held = [], 0
                 with fs.open_input_file(path) as source:
                     for h in records_of(source, r["start"], min(r["start"] + range_bytes, r["bytes"]), r["bytes"]):
-                        http, _, payload = h[""].partition(b"\r\n\r\n")
-                        revisit = h["warc-type"] == "revisit"
+                        kind = h.get("warc-type", "")
+                        http, _, payload = h[""].partition(b"\r\n\r\n") if kind in ("response", "revisit") else (b"", b"", h[""])
+                        revisit = kind == "revisit"
                         if revisit:
-                            n = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                            digest = h["warc-payload-digest"].removeprefix("sha1:")
+                            sizes = [x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                            n = int(sizes[0]) if sizes and sizes[0].isdigit() else None
+                            digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                         else:
                             n, digest = len(payload), digest_of(payload)
-                        rows.append((number(h["warc-record-id"]), h.get("warc-target-uri"), n, digest, h["warc-type"], number(h["warc-refers-to"]) if revisit else None, None if revisit else payload))
+                        rows.append((number(h.get("warc-record-id", "")), h.get("warc-target-uri"), n, digest, kind or None, number(h.get("warc-refers-to", "")) if revisit else None, None if revisit else payload))
                         held += len(payload)
                         if held > 8 * CHUNK or len(rows) >= 1024:
                             yield packed(rows)
