@@ -793,3 +793,57 @@ def test_pipeline_stages(spark):
     masked = C.mask_secrets(spark, near, SF)
     assert masked.columns == docs.columns and secret_scan.secret_scan(masked).where("secrets.n_hex > 0").isEmpty()
     assert C.run(spark, SF).select("doc_id").distinct().count() == near.count()
+
+
+def test_pipeline_against_brute_force(spark):
+    """All stages by hand: SQL for the lines, all pairs for near copies, spans by hand, the tokenizers library for pieces."""
+    import zlib
+
+    import corpus_pipeline as C
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()  # all have a language, as the test above shows
+    con = duckdb.connect()
+    con.register("documents", docs)
+    lines = con.execute(line_dedup.ORACLE).fetchall()
+    kept = [(d, t) for d, t, _, removed in lines if not (removed and not t.strip(" "))]
+    kept = [(d, t) for (d, t), (e, _, c) in zip(sorted(kept), sorted(classes(kept)), strict=True) if d == e == c]
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    want = []
+    for d, text in kept:
+        spans = sorted({*base_by_hand(text or ""), *secret_scan.confirmed(text or "")}, key=lambda x: x[1])
+        covered = sorted({i for _, a, b in spans for i in range(a, b)})
+        clean, last = [], -2
+        inside = set(covered)
+        starts = {a for _, a, b in spans}
+        for i, sign in enumerate(text or ""):
+            if i not in inside:
+                clean.append(sign)
+            elif i - 1 not in inside or (i in starts and not any(a < i < b for _, a, b in spans)):
+                clean.append(C.MARK)
+        ids = np.array([*t.encode("".join(clean), add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, len(ids)] if len(ids) <= 2048 else [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want += [(d, p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    out = C.run(spark, SF).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(zip(out.doc_id, out.piece, out.start, out.length, out.ids_crc32, strict=True)) == sorted(want)
+    assert (out.groupby("sequence_id").length.cumsum() - out.length == out.offset).all() and out.groupby("sequence_id").length.sum().max() <= 2048
+    assert out.sequence_id.nunique() == packing.lower_bound(Counter(out.length), 2048)
+
+
+def test_pipeline_edges(spark, empty):
+    """Clashing columns keep their values, repeats stay together, empty tables stay empty."""
+    import corpus_pipeline as C
+
+    line = "the and is not of with that it to in a as for on was by his her their from"
+    rows = [(1, line + " one", "en", "s", -7), (1, line + " one", "en", "s", -7), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, f"{line}\n{line} x\nown words here and there", "en", "s", 1), (5, f"{line}\n{line} x\nother words of the text", "en", "s", 1), (6, "password = abcdefgh1 " + line, "en", "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.withColumns({c: F.lit(-8) for c in ("n_lines", "n_removed", "_gone", "_gone_doc", "_gone_th", "secrets", "node", "piece")})
+    for name, stage in C.STAGES[:4]:
+        out = stage(spark, clash, SF)
+        assert out.columns == clash.columns and out.where("n_lines <> -8 OR n_removed <> -8 OR _gone <> -8").isEmpty(), name
+        assert stage(spark, clash.limit(0), SF).isEmpty(), name
+    assert sorted(r.doc_id for r in C.identify_language(spark, clash, SF).collect()) == [1, 1, 4, 5, 6]
+    assert {r.doc_id: r.text for r in C.drop_repeated_lines(spark, clash, SF).collect()}[5] == "other words of the text"
+    assert sorted(r.doc_id for r in C.drop_near_copies(spark, docs, SF).collect()) == [1, 1, 2, 3, 4, 5]  # 6 has 16 of 20 shingles in common with 1
+    assert {r.doc_id: r.text for r in C.mask_secrets(spark, docs, SF).collect()}[6] == f"{C.MARK} {line}"
+    assert C.pack_sequences(spark, docs.limit(0), SF).isEmpty() and C.pack_sequences(spark, docs, SF).count() == len(rows)
