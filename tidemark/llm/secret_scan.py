@@ -31,8 +31,9 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
-# from the first of these letters in a run on; nothing is read again where a run fails
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=e[yw]))(e[yw][A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+)")
+# what follows a token's head; its signs are those of URL-safe base64
+TAIL = re.compile(r"\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
+SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 MAGIC = b"openssh-key-v1\x00"
 
 
@@ -105,6 +106,19 @@ def is_openssh_key(data: bytes) -> bool:
     return 1 <= keys <= 64 and all(field() for _ in range(keys + 1)) and fields[0].isascii() and len(data) - at < 64
 
 
+def dotted(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of e[yw][signs]{8,}.[signs]{2,}.[signs]*, found from the dots, so that no run of signs is read again and again."""
+    at = 0
+    while tail := TAIL.search(text, at):
+        dot = start = tail.start()
+        while start > at and text[start - 1] in SIGNS:
+            start -= 1
+        heads = [i for i in (text.find("ey", start, dot - 8), text.find("ew", start, dot - 8)) if i >= 0] if dot - start >= 10 else []
+        if heads:
+            yield min(heads), tail.end()
+        at = tail.end() if heads else dot + 1
+
+
 def is_token(text: str) -> bool:
     """Whether text is a signed token: a JSON header that names an algorithm, then a JSON object or ciphertext."""
     head, body, _ = text.split(".", 2)
@@ -139,9 +153,9 @@ def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "der", *m.span()
             elif is_openssh_key(data):
                 yield "openssh", *m.span()
-    for m in TOKEN.finditer(text):
-        if is_token(m[1]):
-            yield "jwt", *m.span(1)
+    for start, end in dotted(text):
+        if is_token(text[start:end]):
+            yield "jwt", start, end
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
