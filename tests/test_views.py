@@ -129,6 +129,41 @@ def test_store_goes_on_from_its_commits(spark, tmp_path):
     assert Store(spark, root).get("x").count() == 8
 
 
+def test_appended_versions_keep_their_folders(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    s = Store(spark, root)
+    s.write("x", spark.range(3))
+    s.commit(1)
+    for n in (2, 3):
+        s.defer("x", lambda n=n: spark.range(n), True)
+        s.commit(n)
+    again = Store(spark, root)
+    assert (again.get("x").count(), again.ref("x", last=True)().count()) == (8, 3)
+    with pytest.raises(ValueError):
+        again.defer("x", lambda: spark.range(1), True, lambda new: assert_unique(new, "id"))
+
+
+def test_lazy_run_makes_what_is_read_only(spark):
+    source = testdata.catalog(spark, SF)
+    both = [S.run(spark, source, registry.RULES, "sliding_window", 50, 50, ("join_free", "full", "recompute"), results=True, lazy=lazy) for lazy in (True, False)]
+    read = [R.steady(r.store.get("detail_join_free")) for r in both]
+    assert read[0].count() > 0 and D.multiset_diff(*read).isEmpty()
+    made = {name for name, _ in both[0].store.folders}
+    assert "detail_join_free" in made and not made & {"fact_ids", "summary_join_free", "full_fact", "detail_full", "detail_recompute"}
+    assert D.multiset_diff(*(r.store.get("fact_ids") for r in both)).isEmpty()  # an early state, read later
+
+
+def test_live_ids_equal_the_fact(spark):
+    src = testdata.catalog(spark, SF)
+    fact = registry.V.fact(src, registry.RULES).where("logical_is_deleted_del IS FALSE").select("node_type", "id").distinct()
+    assert not fact.isEmpty() and D.multiset_diff(fact, registry.V.live_ids(src, registry.RULES)).isEmpty()
+
+
+def test_multiset_diff_counts_both_ways(spark):
+    a, b = (spark.createDataFrame(x, "k string, v int") for x in ([("x", None)] * 3 + [("y", 1)], [("x", None), ("z", 2), ("z", 2), ("y", 1)]))
+    assert rows(D.multiset_diff(a, b)) == [("x", None, "left")] * 2 + [("z", 2, "right")] * 2
+
+
 def test_stream_goes_on_after_a_stop(spark, tmp_path, monkeypatch):
     source, folder = testdata.catalog(spark, SF), f"file://{tmp_path}/stream"
     apply, seen = S.Runner.apply, []
