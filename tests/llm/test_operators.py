@@ -242,6 +242,24 @@ def test_op2_draws_all_visible_text(spark):
     assert len(set(images)) == len(pages) and all(media.grey(i).size for i in images)
 
 
+def test_op2_part_of_more_images_than_a_bucket_was_used_for(spark):
+    rng = np.random.default_rng(3)
+
+    def noise(height, width):
+        return media._blur(media._blur(rng.normal(128, 160, (height, width)).astype(np.float32)))
+
+    frame, rows = noise(64, 64), []
+    for i in range(70):
+        a = noise(160, 160)
+        a[:64, :64] = frame
+        rows.append((i, a))
+    rows.append((70, frame))  # a crop of all of them
+    rows = [(i, b"P5 %d %d 255\n" % (a.shape[1], a.shape[0]) + np.clip(a, 0, 255).astype(np.uint8).tobytes()) for i, a in rows]
+    described = {i: media.describe(media.grey(b)) for i, b in rows}
+    assert all(media.linked(*described[70], *described[i]) for i in range(70)) and not media.linked(*described[0], *described[1])
+    assert {c for _, _, c in media.image_copies(spark.createDataFrame(rows, "id long, image binary")).collect()} == {0}
+
+
 def test_op2_crops_of_long_images_and_short_pages(spark):
     rng = np.random.default_rng(6)
     long = rng.normal(size=(1600, 128))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, small_batches, stored
@@ -33,8 +33,6 @@ SCALES, STEP, APART = 4, 1.26, 7
 SMALL = 28
 #: Rows around an image among others, and pixels that are worked on at once.
 GAP, STACK = 8, 1 << 17
-#: Share of an image's buckets, its most crowded ones, that find no other images if they hold more than CROWD; under SHARE.
-CROWDED, CROWD = 0.25, 64
 #: Buckets in which two images must meet to be compared; one is enough for an image of fewer than FEW corners.
 MEET, FEW = 2, 12
 #: Radius of a patch, bits of a descriptor, bands of the Hamming tables.
@@ -429,12 +427,10 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     Two images are linked when their pixels are equal, or AGREE matches, and SHARE of the corners
     of the image that has fewer, agree on one shift, turn and scale.
 
-    Images are compared that meet in MEET buckets, or in one where one has fewer than FEW corners.
-    The quarter (CROWDED) of an
-    image's buckets that is most crowded comes from a frame that many images have, if it has one,
-    which by itself makes no copy; these buckets only count with at most CROWD images.  Images
-    are compared with the anchors of their buckets first; then two that are still in different
-    groups, by the buckets that are in neither's quarter.
+    Images are compared that meet in MEET buckets, or in one where one has fewer than FEW corners,
+    however many images a bucket holds.  They are compared with the anchors of their buckets first;
+    then two that are still in different groups, all pairs of them: buckets of images that stay
+    apart, as by a frame that many have, cost the square of their size.
 
     Corners that tie for a place are both kept.  Null,
     empty and unreadable images (JPEG, interlaced PNG) and flat ones have no features; unreadable
@@ -452,19 +448,16 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     per_word = BANDS // WORDS
     band = f"shiftrightunsigned(get(bits, i div {per_word}), {64 // per_word} * pmod(i, {per_word})) & {(1 << 64 // per_word) - 1}"
     tokens = F.expr(f"array_distinct(transform(sequence(0, n * {BANDS} - 1), i -> xxhash64(pmod(i, {BANDS}), {band})))")
-    listed = nodes.select("node", "n", tokens.alias("tokens")).select("node", "n", F.size("tokens").alias("total"), F.explode("tokens").alias("token"))
+    listed = nodes.select("node", (F.col("n") < FEW).alias("few"), F.explode(tokens).alias("token"))
     shared = listed.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    # an image's most crowded buckets: its frame's, if it has one
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "token"))
-    met = stored(listed.join(shared, "token").withColumn("frame", rank <= F.floor(F.col("total") * CROWDED)).select("token", "node", "k", "frame", (F.col("n") < FEW).alias("few")), "buckets")
+    met = stored(listed.join(shared, "token").select("token", "node", "k", "few"), "buckets")
     # an anchor for every bucket in use; what is still apart is paired afterwards
-    used = met.where(~F.col("frame") | (F.col("k") <= CROWD))
-    least = used.groupBy("token").agg(F.min(F.struct("node", "few")).alias("x")).select("token", F.col("x.node").alias("a"), F.col("x.few").alias("a_few"))
-    first = used.join(least, "token").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(F.col("few") | F.col("a_few")).alias("few")).where((F.col("c") >= MEET) | F.col("few"))
+    least = met.groupBy("token").agg(F.min(F.struct("node", "few")).alias("x")).select("token", F.col("x.node").alias("a"), F.col("x.few").alias("a_few"))
+    first = met.join(least, "token").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(F.col("few") | F.col("a_few")).alias("few")).where((F.col("c") >= MEET) | F.col("few"))
     first = stored(first.select("a", "b"), "image-pairs")
     links = confirmed(first, nodes)
     labels = components(links)
-    second = stored(still_apart(met.where("NOT frame").drop("frame"), labels).join(first, ["a", "b"], "left_anti"), "image-pairs")
+    second = stored(still_apart(met, labels).join(first, ["a", "b"], "left_anti"), "image-pairs")
     if not second.isEmpty():
         links = stored(links.unionByName(confirmed(second, nodes)), "image-links")
         labels = components(links)
