@@ -218,3 +218,30 @@ def test_csv_slices(spark, tmp_path):
 
 def test_entry(spark):
     assert entry.entry(spark).select(F.count(F.lit(1))).first()[0] >= 0
+
+
+def test_states_without_rows_take_no_folder(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", lazy=True)
+    some = spark.createDataFrame([(1, "a")], "k int, v string")
+    s.defer("x", lambda: some.limit(0))
+    s.commit()
+    assert rows(s.get("x")) == [] and s.get("x").schema == some.schema
+    s.defer("x", lambda: some, True)
+    s.defer("x", lambda: some.limit(0), True)
+    s.commit()
+    assert rows(s.get("x")) == [(1, "a")] and rows(s.ref("x", last=True)()) == []
+    assert [p.name for p in (tmp_path / "s" / "x").iterdir()] == ["v000002"]
+
+
+def test_fold_max_without_deletes_needs_no_source(spark):
+    old, came = (spark.createDataFrame(x, "code string, v int") for x in ([(None, 1), ("a", 4)], [(None, 3), ("a", 2), ("b", None)]))
+    assert rows(D.fold_max(D.max_state(old, "code", "v"), None, came.withColumn("w", F.lit(1)), "code", "v")) == rows(D.max_state(old.union(came), "code", "v"))
+
+
+def test_details_held_are_left_out_before_lookups(spark):
+    src = testdata.catalog(spark, SF)
+    fact = registry.V.fact(src, registry.RULES)
+    target = R.detail(fact.where("id % 3 = 0"), src, registry.RULES)
+    want = R.accumulate(target, R.detail(fact, src, registry.RULES), "id").select("id", "logical_is_deleted", "currentrole")
+    got = R.detail(R.not_held(target, fact), src, registry.RULES).select("id", "logical_is_deleted", "currentrole")
+    assert rows(got) == rows(want) and got.count() > 0
